@@ -56,7 +56,7 @@ def prefix_keys(sets: list[np.ndarray], trees: int, depth: int, seed: int) -> np
     return out.view(np.int64)
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 16, longest: int = 8, recall: float = 0.998, seed: int = 3) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, seed: int = 3) -> DataFrame:
     """One row per id: ``(id, n_links, class_id, kept)``.
 
     Two documents link when their sets of ``n``-word shingles have a Jaccard similarity of at least

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import embedding_neardup, line_dedup, ngram_join
+from larkspan.llm import ann_forest, bpe, embedding_neardup, line_dedup, mixing, ngram_join, quality_crf, toxicity, url_filter, warc
+from larkspan.llm.scratch import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +17,49 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neardup.embedding_near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_warc(_read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann_forest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, _read(spark, sf_dir, "labels")))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoding_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = quality_crf.train_quality(docs, labels.where(~held_out))
+    out = quality_crf.score_quality(docs, model, threshold=0.7)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+#: The rules of the URL query.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train_url_filter(url_filter.weak_labels(pages))
+    return url_filter.filter_urls(pages, URL_RULES, model)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return line_dedup.digests(docs)
@@ -25,7 +69,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op9_line_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_warc, op3_ann_forest, op4_mix_sources, op5_toxicity, op6_bpe, op7_quality_crf, op8_url_filter, op9_line_dedup, op10_ngram_join)}
 
 _LINK_SQL = """
 , reach(node, peer) AS (
@@ -43,6 +87,14 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label
 SELECT n.a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = n.a) AS n_links,
   (SELECT min(peer) FROM reach r WHERE r.node = n.a) AS component_id,
   n.a = (SELECT min(peer) FROM reach r WHERE r.node = n.a) AS kept FROM nodes n""",
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM d""",
     "op9_line_dedup": r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 ls AS (SELECT rid, doc_id, i, ls[i] AS line FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)),
