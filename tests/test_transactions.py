@@ -1,0 +1,210 @@
+import json
+import os
+import threading
+
+import pytest
+
+from larkspan.errors import EngineError, ExecError, TxnError
+from larkspan.session import Database
+from larkspan.sources.log import CommitLog, State
+from tests.test_sql import fill, rows
+
+
+def count(session, table="t"):
+    return session.execute(f"SELECT COUNT(*) FROM {table}").rows[0][0]
+
+
+def test_own_writes_commit_and_rollback(db):
+    fill(db, "t", "id INTEGER, v TEXT", [(1, "a")])
+    with db.session() as s:
+        s.execute("BEGIN")
+        s.execute("INSERT INTO t VALUES (2, 'b')")
+        assert count(s) == 2 and count(db) == 1
+        assert s.execute("SELECT v, COUNT(*), SUM(id) FROM t GROUP BY v").rows == [("a", 1, 1), ("b", 1, 2)]
+        assert s.execute("COMMIT").rows_affected == 1
+        assert count(db) == 2
+        s.execute("BEGIN")
+        s.execute("INSERT INTO t VALUES (3, 'c')")
+        s.execute("ROLLBACK")
+        assert count(s) == 2
+        s.execute("BEGIN")
+        s.execute("INSERT INTO t VALUES (4, 'd')")
+    assert count(db) == 2  # left open: rolled back
+
+
+def test_snapshot_does_not_move(db):
+    fill(db, "t", "id INTEGER, v TEXT", [(i, "x") for i in range(3)])
+    r = db.session()
+    r.execute("BEGIN")
+    assert count(r) == 3
+    db.execute("INSERT INTO t VALUES (9, 'y')")
+    assert count(r) == 3
+    r.execute("COMMIT")
+    assert count(r) == 4
+
+
+def test_misuse(db):
+    s = db.session()
+    for bad in ("COMMIT", "ROLLBACK"):
+        with pytest.raises(TxnError):
+            s.execute(bad)
+    s.execute("BEGIN")
+    for bad in ("BEGIN", "CREATE TABLE x (a INTEGER)", "DROP INDEX i"):
+        with pytest.raises(TxnError):
+            s.execute(bad)
+    with pytest.raises(ExecError):
+        s.execute_read("INSERT INTO t VALUES (1)")
+
+
+def test_inserts_do_not_conflict_rewrites_do(db):
+    fill(db, "t", "id INTEGER, v TEXT", [(1, "a"), (2, "b")])
+    a, b, c = (db.session() for _ in range(3))
+    for s in (a, b, c):
+        s.execute("BEGIN")
+    a.execute("INSERT INTO t VALUES (3, 'a3')")
+    b.execute("INSERT INTO t VALUES (4, 'b4')")
+    c.execute("UPDATE t SET v = 'c' WHERE id = 1")
+    assert c.execute("SELECT v FROM t WHERE id = 1").rows == [("c",)]
+    c.execute("INSERT INTO t VALUES (5, 'c5')")
+    assert count(c) == 3
+    a.execute("COMMIT")
+    b.execute("COMMIT")
+    with pytest.raises(TxnError):
+        c.execute("COMMIT")
+    assert rows(db, "SELECT id, v FROM t") == [(1, "a"), (2, "b"), (3, "a3"), (4, "b4")]
+    db.execute("DELETE FROM t WHERE id = 2")
+    d = db.session()
+    d.execute("BEGIN")
+    d.execute("DELETE FROM t WHERE id = 1")
+    d.execute("INSERT INTO t VALUES (6, 'd6')")
+    d.execute("COMMIT")
+    assert rows(db, "SELECT id FROM t") == [(3,), (4,), (6,)]
+
+
+def test_dropped_table_conflicts(db):
+    fill(db, "t", "id INTEGER", [(1,)])
+    s = db.session()
+    s.execute("BEGIN")
+    s.execute("INSERT INTO t VALUES (2)")
+    db.execute("DROP TABLE t")
+    db.execute("CREATE TABLE t (id INTEGER)")
+    with pytest.raises(TxnError):
+        s.execute("COMMIT")
+
+
+def test_readers_never_see_half_a_commit(db):
+    db.execute("CREATE TABLE t (id INTEGER, grp INTEGER)")
+    bad, done = [], threading.Event()
+
+    def read():
+        while not done.is_set():
+            n = count(db.session())
+            if n % 25:
+                bad.append(n)
+
+    threads = [threading.Thread(target=read) for _ in range(2)]
+    for t in threads:
+        t.start()
+
+    def write(k):
+        s = db.session()
+        for i in range(5):
+            s.execute("INSERT INTO t VALUES " + ", ".join(f"({25 * i + j}, {k})" for j in range(25)))
+
+    writers = [threading.Thread(target=write, args=(k,)) for k in range(2)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    done.set()
+    for t in threads:
+        t.join()
+    assert not bad and count(db) == 250
+    rids = db.store.frame(db.log.state().tables["t"]).select("_rid").collect()
+    assert len({r[0] for r in rids}) == 250
+
+
+def test_reopen(spark, tmp_path):
+    folder = str(tmp_path / "d")
+    db = Database.create(spark, folder)
+    fill(db, "people", "id INTEGER NOT NULL, name TEXT", [(1, "amy"), (2, "bob"), (3, "amy")])
+    db.execute("CREATE INDEX by_name ON people (name)")
+    s = db.session()
+    s.execute("BEGIN")
+    s.execute("INSERT INTO people VALUES (9, 'lost')")
+    with pytest.raises(ExecError, match="exists"):
+        Database.create(spark, folder)
+    again = Database.open(spark, folder)
+    assert rows(again, "SELECT id FROM people WHERE name = 'amy'") == [(1,), (3,)]
+    again.execute("INSERT INTO people VALUES (4, 'amy')")
+    assert again.index("by_name").get_all("amy").count() == 3
+    assert rows(db, "SELECT COUNT(*) FROM people") == [(4,)]  # the other handle sees it, too
+    assert [v for v, _ in again.log.replay()] == [1, 2, 3, 4]
+
+
+def test_torn_damaged_and_foreign_logs(spark, tmp_path):
+    folder = str(tmp_path / "d")
+    db = Database.create(spark, folder)
+    fill(db, "t", "id INTEGER", [(1,)])
+    db.execute("INSERT INTO t VALUES (2)")
+    raw = open(db.log.path(3), "rb").read()
+    for cut in range(0, len(raw), 7):
+        with open(db.log.path(3), "wb") as f:
+            f.write(raw[:cut])
+        assert Database.open(spark, folder).row_count("t") == 1
+    with open(db.log.path(3), "wb") as f:
+        f.write(raw)
+    assert Database.open(spark, folder).row_count("t") == 2
+    good = open(db.log.path(2), "rb").read()
+    with open(db.log.path(2), "wb") as f:
+        f.write(good[:-3] + b"xyz")
+    with pytest.raises(ExecError, match="damaged"):
+        Database.open(spark, folder)
+    os.unlink(db.log.path(2))
+    with pytest.raises(ExecError, match="lacks 2"):
+        Database.open(spark, folder)
+    with open(os.path.join(folder, "_meta.json"), "w") as f:
+        json.dump({"format": 99}, f)
+    with pytest.raises(ExecError, match="format 99"):
+        Database.open(spark, folder)
+    with pytest.raises(ExecError, match="no database"):
+        Database.open(spark, str(tmp_path / "nothing"))
+
+
+def test_log_saves_states(tmp_path):
+    log = CommitLog.create(str(tmp_path / "d"))
+    assert log.try_commit(1, [{"op": "create_table", "table": "t", "columns": [["a", "bigint", True]]}])
+    assert not log.try_commit(1, [])
+    for v in range(2, 131):
+        assert log.try_commit(v, [{"op": "add_files", "table": "t", "files": [{"path": f"f{v}", "rows": 1}], "next_rid": v}])
+    assert len([x for x in os.listdir(log.dir) if x.endswith(".state")]) == 2
+    for v in range(1, 100):
+        os.unlink(log.path(v))  # a saved state stands for them
+    assert CommitLog.open(str(tmp_path / "d")).state().tables["t"].rows == 129
+    assert State.load(json.loads(json.dumps(log.state().dump()))) == log.state()
+
+
+def test_log_matches_a_model(tmp_path):
+    import random
+
+    rng, log, model = random.Random(5), CommitLog.create(str(tmp_path / "d")), {}
+    for v in range(1, 200):
+        name = f"t{rng.randint(0, 3)}"
+        if name not in model:
+            op, model[name] = {"op": "create_table", "table": name, "columns": [["a", "bigint", True]]}, 0
+        elif rng.random() < 0.1:
+            op = {"op": "drop_table", "table": name}
+            del model[name]
+        elif rng.random() < 0.1:
+            op, model[name] = {"op": "set_files", "table": name, "files": [{"path": "x", "rows": 7}], "next_rid": 0}, 7
+        else:
+            op, model[name] = {"op": "add_files", "table": name, "files": [{"path": f"f{v}", "rows": v}], "next_rid": v}, model[name] + v
+        assert log.try_commit(v, [op])
+    assert {n: t.rows for n, t in CommitLog.open(str(tmp_path / "d")).state().tables.items()} == model
+
+
+def test_no_temporary_files_stay(db):
+    fill(db, "t", "id INTEGER", [(1,)])
+    with pytest.raises(EngineError):
+        db.execute("INSERT INTO t VALUES ('x')")
+    assert not [x for x in os.listdir(db.log.dir) if x.endswith(".tmp")]
