@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.scratch import materialize, shuffle_partitions
+from larkspan.llm.scratch import shuffle_partitions
 from larkspan.llm.textkit import slices
 
 #: Text bytes of a chunk; a longer document is a chunk of its own.
@@ -66,7 +66,8 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, p
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         shipped = spark.sparkContext.broadcast(f.read())  # a vocabulary file; its size does not follow the input
-    owners = 4 * shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)
+    owners = 4 * parts
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,21 +95,22 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, p
                 n = len(p)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([chunk] * (n + 1), pa.int64()), pa.array([None, *p.tolist()], pa.int32()), pa.array([b.column("id").to_pylist()] + [None] * n, pa.list_(pa.int64())), pa.array([sizes] + [None] * n, pa.list_(pa.int32())),
+                        pa.array([-1 - chunk, *p.tolist()], pa.int64()), pa.array([chunk] * (n + 1), pa.int64()), pa.array([b.column("id").to_pylist()] + [None] * n, pa.list_(pa.int64())), pa.array([sizes] + [None] * n, pa.list_(pa.int32())),
                         pa.array([_pack(np.concatenate(at)), *(x[0] for x in blocks)], pa.binary()), pa.array([None, *(x[1] for x in blocks)], pa.binary()), pa.array([None, *(x[2] for x in blocks)], pa.binary()),
                     ],
-                    ["chunk", "owner", "ids", "sizes", "at", "lens", "words"],
+                    ["key", "chunk", "ids", "sizes", "at", "lens", "words"],
                 )
 
-    pieces = materialize(src.mapInArrow(cut, "chunk long, owner int, ids array<long>, sizes array<int>, at binary, lens binary, words binary"), "bpe")
+    # one shuffle for both: word blocks go to their owners, positions wait for the ids at their chunk's key
+    pieces = src.mapInArrow(cut, "key long, chunk long, ids array<long>, sizes array<int>, at binary, lens binary, words binary").repartition(parts, "key")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = _encoder(shipped.value)
         known: dict[bytes, np.ndarray] = {}
         last = None
         for b in batches:
-            for i in range(b.num_rows):
-                owner = b.column("owner")[i].as_py()
+            for i in np.flatnonzero(b.column("key").to_numpy() >= 0).tolist():
+                owner = b.column("key")[i].as_py()
                 if owner != last:
                     known, last = {}, owner
                 raw, out = _unpack(b.column("words")[i].as_py()), []
@@ -121,46 +123,30 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, p
                     out.append(got)
                 lens = np.array(list(map(len, out)))
                 flat = np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(lens.sum()))
-                yield pa.RecordBatch.from_arrays([b.column("chunk").slice(i, 1), b.column("owner").slice(i, 1), b.column("at").slice(i, 1), pa.array([_pack(lens)], pa.binary()), pa.array([_pack(flat)], pa.binary())], ["chunk", "owner", "at", "lens", "tokens"])
-
-    words = pieces.where("owner is not null").select("owner", "chunk", "at", "lens", "words").repartition(owners, "owner").sortWithinPartitions("owner", "chunk")
-    coded = words.mapInArrow(merged, "chunk long, owner int, at binary, lens binary, tokens binary")
-    heads = pieces.where("owner is null").select("chunk", F.lit(None).cast("int").alias("owner"), "at", F.lit(None).cast("binary").alias("lens"), F.lit(None).cast("binary").alias("tokens"), "ids", "sizes")
-    both = heads.unionByName(coded, allowMissingColumns=True).repartition(shuffle_partitions(spark), "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("owner"))
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _encoder(shipped.value)[1]
-        head, parts = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            ids, sizes, at = head
-            n = sum(len(p[0]) for p in parts)
-            word_ids: list = [None] * n
-            for where, lens, tokens in parts:
-                end = np.cumsum(lens).tolist()
-                for k, s, e in zip(where.tolist(), [0, *end], end):
-                    word_ids[k] = tokens[s:e]
-            rows, start = [], 0
-            emit = make(word_ids, table)
-            for i, size in zip(ids, sizes):
-                rows.append((i, *emit(at[start : start + size])))
-                start += size
-            for k in range(0, len(rows), 512):
-                part = rows[k : k + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), *(pa.array([r[j + 1] for r in part], f[1]) for j, f in enumerate(fields))], [id_col, *(f[0] for f in fields)])
-
-        for b in batches:
-            for i in range(b.num_rows):
-                if not b.column("owner")[i].is_valid:
-                    if head is not None:
-                        yield from done()
-                    head, parts = (b.column("ids")[i].as_py(), b.column("sizes")[i].as_py(), _numbers(b.column("at")[i].as_py())), []
-                else:
-                    parts.append(tuple(_numbers(b.column(c)[i].as_py()) for c in ("at", "lens", "tokens")))
-        if head is not None:
-            yield from done()
-
-    return both.mapInArrow(joined, ", ".join([f"`{id_col}` long", *(f"`{n}` {t}" for n, _, t in fields)]))
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - b.column("chunk")[i].as_py()], pa.int64()), b.column("at").slice(i, 1), pa.array([_pack(lens)], pa.binary()), pa.array([_pack(flat)], pa.binary())], ["key", "at", "lens", "tokens"])
+
+    coded = pieces.sortWithinPartitions("key").mapInArrow(merged, "key long, at binary, lens binary, tokens binary")
+    schema = pa.schema([pa.field(id_col, pa.int64()), *(pa.field(n, t) for n, t, _ in fields)])
+
+    def joined(_key, head: pa.Table, parts: pa.Table) -> pa.Table:
+        rows = [r for r in head.to_pylist() if r["key"] < 0]
+        if not rows:
+            return schema.empty_table()
+        ids, sizes, at = rows[0]["ids"], rows[0]["sizes"], _numbers(rows[0]["at"])
+        blocks = [tuple(_numbers(r[c]) for c in ("at", "lens", "tokens")) for r in parts.to_pylist()]
+        word_ids: list = [None] * sum(len(b[0]) for b in blocks)
+        for where, lens, tokens in blocks:
+            end = np.cumsum(lens).tolist()
+            for k, s, e in zip(where.tolist(), [0, *end], end):
+                word_ids[k] = tokens[s:e]
+        emit = make(word_ids, _encoder(shipped.value)[1])
+        out, start = [], 0
+        for size in sizes:
+            out.append(emit(at[start : start + size]))
+            start += size
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[j] for r in out], t) for j, (_, t, _) in enumerate(fields))], schema=schema)
+
+    return pieces.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(joined, ", ".join([f"`{id_col}` long", *(f"`{n}` {t}" for n, _, t in fields)]))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
