@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -59,7 +60,8 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, payload, the HTTP header's Content-Length) of one record; a malformed one is an error."""
+    """(headers, payload, the HTTP header's Content-Length) of one record, plain or gzip; a malformed one is an error."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     end = raw.find(b"\r\n\r\n")
     lines = raw[:end].decode().split("\r\n")
     if end < 0 or not lines[0].startswith("WARC/"):
@@ -73,12 +75,14 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
     return head, payload, size
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 30, date: str | None = None) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 30, compress: bool = True, date: str | None = None) -> DataFrame:
     """Write one record per row under ``folder`` and return the index, a table in the shared folder.
 
     Payloads are the column in UTF-8, null as empty. Of rows with equal payloads of at least ``least_bytes`` bytes those
     with the smallest id are responses, the others revisits that refer to it; without any id in such a group all are
     responses. Null ids and URLs, repeated rows and odd characters in URLs are written; other columns are ignored.
+    ``compress`` makes each record a gzip member of its own, so that a record can still be read alone; offsets and lengths are
+    those of the members.
 
     A task's files bear a name of its own, and only files of tasks that ended well are in the index, so that
     repeated and lost tasks leave nothing that a reader sees.
@@ -100,12 +104,13 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
-                        name, at, k = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{k:04d}-{uuid.uuid4().hex[:8]}.warc", 0, k + 1
+                        name, at, k = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{k:04d}-{uuid.uuid4().hex[:8]}.warc{'.gz' if compress else ''}", 0, k + 1
                         fs.create_dir(base, recursive=True)
-                        out = fs.open_output_stream(f"{base}/{name}")
+                        out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     data, digest = payload.encode(), base64.b32encode(bytes.fromhex(sha)).decode()
                     refers = first if first is not None and first != page_id else None
                     raw = record_bytes(page_id, url, data, digest, refers, date)
+                    raw = gzip.compress(raw, 3, mtime=0) if compress else raw
                     out.write(raw)
                     index.append((f"{folder}/{name}", at, len(raw), page_id, url, digest, len(data), "response" if refers is None else "revisit", refers))
                     at += len(raw)
