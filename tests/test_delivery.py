@@ -164,3 +164,19 @@ def test_server(db):
         assert b.query("SELECT COUNT(*) FROM t")[1][1].endswith(b"2")
         assert b.query("SELEKT")[0][0] == b"E" and b.query("")[0][0] == b"I"
         server.shutdown()
+
+
+def test_workspace(spark, tmp_path):
+    from larkspan.errors import ExecError
+    from larkspan.sources.workspace import Workspace
+
+    w = Workspace(spark, str(tmp_path / "w"))
+    run(w.create_schema("b"), "CREATE TABLE t (a INTEGER)", "INSERT INTO t VALUES (1)")
+    w.create_schema("a")
+    assert w.list_schemas() == ["a", "b"] and w.list_tables() == [("b", "t", 1)]
+    for bad in ("b", "../x", "nope"):
+        with pytest.raises(ExecError):
+            w.drop_schema(bad)
+    w.drop_schema("a")
+    w.drop_schema("b", cascade=True)
+    assert w.list_schemas() == []
