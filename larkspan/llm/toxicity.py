@@ -6,7 +6,7 @@ Features are counts of words and word beginnings, chosen on the training sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,40 +90,56 @@ def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str], featu
     """Fit on texts and a 0/1 column per category, in the chain's order. Features are chosen by how far their share of
     documents differs between a category's two sides, in standard errors."""
     n = len(texts)
-    docs, feats, base = [], [], 0
-    for b in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), "t"):
-        hashes, rows, _, k = word_features(b.column("t"))
-        r, h = np.concatenate(rows), np.concatenate(hashes)
-        order = np.lexsort((h, r))
-        r, h = r[order], h[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-        docs.append(r[new] + base)
-        feats.append(h[new])
-        base += k
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    feat = np.concatenate(feats) if feats else np.zeros(0, np.uint64)
-    uniq, inv = np.unique(feat, return_inverse=True)
-    total = np.bincount(inv, minlength=len(uniq))
-    best = np.zeros(len(uniq))
-    for j in range(labels.shape[1]):
-        y = labels[:, j].astype(float)
-        pos = np.bincount(inv, weights=y[doc], minlength=len(uniq)) if len(doc) else np.zeros(0)
-        n1, n0 = max(1.0, y.sum()), max(1.0, n - y.sum())
+    pieces = list(slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), "t"))
+    y = labels.astype(np.float32)
+    n1 = np.maximum(1.0, y.sum(0))
+    n0 = np.maximum(1.0, n - y.sum(0))
+
+    def tally(index: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+        """How far each feature's share of documents differs between a category's sides, in standard errors (the largest of all categories)."""
+        total, pos, base = np.zeros(size, np.float32), np.zeros((y.shape[1], size), np.float32), 0
+        for b in pieces:
+            hashes, rows, _, k = word_features(b.column("t"))
+            keep, i = index(np.concatenate(hashes))
+            r = np.concatenate(rows)[keep]
+            once = np.unique(i * np.int64(k) + r)  # a document counts once
+            i, r = once // k, once % k + base
+            total += np.bincount(i, minlength=size)
+            for j in range(y.shape[1]):
+                pos[j] += np.bincount(i, weights=y[r, j], minlength=size)
+            base += k
         share = (total + 1) / (n + 2)
-        z = (pos / n1 - (total - pos) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-        best = np.maximum(best, np.where(total >= 3, z, 0))
+        z = (pos / n1[:, None] - (total - pos) / n0[:, None]) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)[:, None])
+        return np.where(total >= 3, z.max(0, initial=0), 0)
+
+    # first by hash bucket, so that memory does not follow the vocabulary; then the features of the best buckets one by one
+    bits = 21
+    coarse = tally(lambda h: (np.arange(len(h)), (h >> np.uint64(64 - bits)).astype(np.int64)), 1 << bits)
+    good = np.zeros(1 << bits, bool)
+    good[np.argsort(-coarse, kind="stable")[: 8 * features]] = True
+    good &= coarse > 2
+    found = [np.zeros(0, np.uint64)]
+    for b in pieces:
+        h = np.concatenate(word_features(b.column("t"))[0])
+        found.append(np.unique(h[good[(h >> np.uint64(64 - bits)).astype(np.int64)]]))
+    uniq = np.unique(np.concatenate(found))
+
+    def exact(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.flatnonzero(good[(h >> np.uint64(64 - bits)).astype(np.int64)])
+        return keep, np.searchsorted(uniq, h[keep])
+
+    best = tally(exact, len(uniq))
     pick = np.argsort(-best, kind="stable")[:features]
     model = ChainModel(categories, np.sort(uniq[pick[best[pick] > 3]]), [])
-    x = np.vstack([model.matrix(b.column("t")) for b in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), "t")]) if n else np.zeros((0, len(model.known) + 2))
+    x = np.vstack([model.matrix(b.column("t")) for b in pieces]) if n else np.zeros((0, len(model.known) + 2))
     fold = np.arange(n) % folds
     earlier: list[np.ndarray] = []
     for j in range(labels.shape[1]):
-        xj, y = np.column_stack([*earlier, x]), labels[:, j].astype(float)
-        model.weights.append(_logistic(xj, y, ridge))
+        xj, yj = np.column_stack([*earlier, x]), labels[:, j].astype(float)
+        model.weights.append(_logistic(xj, yj, ridge))
         held = np.zeros(n)
         for f in range(folds):
-            w = _logistic(xj[fold != f], y[fold != f], ridge)
+            w = _logistic(xj[fold != f], yj[fold != f], ridge)
             held[fold == f] = 1 / (1 + np.exp(-np.clip(xj[fold == f] @ w, -30, 30)))
         earlier.append(held)
     return model
