@@ -86,7 +86,7 @@ class ChainModel:
         return np.column_stack(out)
 
 
-def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str], features: int = 400, folds: int = 4, ridge: float = 0.5) -> ChainModel:
+def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str], features: int = 400, folds: int = 4, ridge: float = 0.1) -> ChainModel:
     """Fit on texts and a 0/1 column per category, in the chain's order. Features are chosen by how far their share of
     documents differs between a category's two sides, in standard errors."""
     n = len(texts)
