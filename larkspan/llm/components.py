@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from larkspan.llm.scratch import materialize, release
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # written, so that both sides of the join are plain shuffles: adaptive execution can then split a hub's many edges
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+    return low, both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -33,5 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(got) == seen or not got[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen, old = tuple(got), e
-        e = materialize(_small(_large(e)), "cc")
+        low, stars = _large(e)
+        e = materialize(_small(stars), "cc")
         release(old)
+        release(low)
