@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -56,16 +55,16 @@ _folders: list[str] = []
 def database(spark: SparkSession, **options) -> Database:
     """A new database: in the cluster's shared folder if it names one, else in a temporary one that goes with the process."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if shared.startswith(("file:", "/")):
-        base = os.path.join(shared.removeprefix("file://"), f"db-{uuid.uuid4().hex}")
+    if shared:
+        base = f"{shared.rstrip('/')}/db-{uuid.uuid4().hex}"
     else:
         base = tempfile.mkdtemp(prefix="larkspan-db-")
         if not _folders:
             atexit.register(lambda: [shutil.rmtree(x, True) for x in _folders])
         _folders.append(base)
     if options.pop("replica", False):
-        options["replica_dir"] = os.path.join(base, "replica")
-    return Database.create(spark, os.path.join(base, "db"), **options)
+        options["replica_dir"] = f"{base}/replica"
+    return Database.create(spark, f"{base}/db", **options)
 
 
 # projection
@@ -344,7 +343,7 @@ def recovery_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.execute("BEGIN")
     s.execute("INSERT INTO t VALUES (101, 'lost')")
     db.close()
-    return Database.open(spark, db.log.folder).query("SELECT COUNT(*) AS n FROM t")
+    return Database.open(spark, db.log.files.url("")).query("SELECT COUNT(*) AS n FROM t")
 
 
 @_query("SELECT CAST(n_nationkey AS BIGINT) + CASE WHEN n_nationkey % 2 = 1 THEN 1000 ELSE 0 END AS k, CASE WHEN n_nationkey % 2 = 1 THEN lower(n_name) ELSE n_name END AS v FROM nation")

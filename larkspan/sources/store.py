@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -42,7 +41,7 @@ class Store:
     def frame(self, t: Table, staged: Sequence[tuple] = ()) -> DataFrame:
         """The rows of the files that ``t`` names, and ``staged`` rows (rid first), under column names. Columns added later are null in old files."""
         schema = self.schema(t)
-        paths = ["file://" + os.path.join(os.path.abspath(self.log.folder), f["path"]) for f in t.files]
+        paths = [self.log.files.url(f["path"]) for f in t.files]
         df = self.spark.read.schema(schema).parquet(*paths) if paths else None
         if staged or df is None:
             own = self.spark.createDataFrame(list(staged), schema)
@@ -68,15 +67,15 @@ class Store:
     def write_rows(self, name: str, t: Table, rows: Sequence[tuple]) -> dict:
         """One file of rows (rid first) that are on the driver already: literals of INSERT."""
         schema = pa.schema([(RID, pa.int64()), *[(physical(c[3]), _ARROW[c[1]]) for c in t.columns]])
-        rel = os.path.join("data", name, f"part-{uuid.uuid4().hex}.parquet")
-        path = os.path.join(self.log.folder, rel)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        pq.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema), path)
+        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        rel, sink = f"data/{name}/part-{uuid.uuid4().hex}.parquet", pa.BufferOutputStream()
+        pq.write_table(table, sink)
+        self.log.files.create(rel, sink.getvalue().to_pybytes())
         return {"path": rel, "rows": len(rows)}
 
     def write_frame(self, name: str, t: Table, df: DataFrame, bloom: Sequence[str] = (), sort: str | None = None) -> list[dict]:
         """Files of a DataFrame with RID and the table's columns, written by the executors."""
-        rel = os.path.join("data", name, f"set-{uuid.uuid4().hex}")
+        rel = f"data/{name}/set-{uuid.uuid4().hex}"
         out = df.select(RID, *[F.col(c[0]).alias(physical(c[3])) for c in t.columns])
         ids = {c[0]: physical(c[3]) for c in t.columns}
         if sort:
@@ -84,10 +83,10 @@ class Store:
         w = out.write
         for c in bloom:
             w = w.option(f"parquet.bloom.filter.enabled#{ids[c]}", "true")
-        w.parquet("file://" + os.path.join(os.path.abspath(self.log.folder), rel))
-        base = os.path.join(self.log.folder, rel)
-        files = sorted(x for x in os.listdir(base) if x.endswith(".parquet"))
-        return [{"path": os.path.join(rel, x), "rows": n} for x in files if (n := pq.read_metadata(os.path.join(base, x)).num_rows)]
+        w.parquet(self.log.files.url(rel))
+        # row counts come from the files' footers
+        count = self.spark.read.schema(self.schema(t)).parquet(self.log.files.url(rel)).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
+        return [{"path": f"{rel}/{r['f']}", "rows": r["count"]} for r in sorted(count, key=lambda r: r["f"])]
 
     def commit(self, base: State, make: Callable[[State], list[dict]]) -> State:
         """Commit what ``make`` derives from the latest state; on a lost race derive it again. ``make`` raises where that state forbids it."""

@@ -20,7 +20,7 @@ class Workspace:
     def _path(self, name: str) -> str:
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
             raise ExecError(f"{name!r} is not a schema name")
-        return os.path.join(self.folder, name)
+        return f"{self.folder}/{name}"
 
     def list_schemas(self) -> list[str]:
         return sorted(x for x in os.listdir(self.folder) if os.path.exists(os.path.join(self.folder, x, "_meta.json")))

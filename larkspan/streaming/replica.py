@@ -8,7 +8,6 @@ and publishes one state file, so a batch that is run again leaves what the first
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,24 +15,23 @@ from pyspark.sql import functions as F
 
 from larkspan.errors import BindError, ExecError
 from larkspan.plans.planner import RID, Relation
+from larkspan.sources.fs import files_of
 from larkspan.sources.log import CommitLog, State, Table
 from larkspan.sources.store import Store, physical
 
 
 class Replica:
     def __init__(self, spark: SparkSession, log: CommitLog, folder: str):
-        self.spark, self.log, self.folder = spark, log, os.path.abspath(folder)
-        self.states = os.path.join(self.folder, "_state")
-        os.makedirs(self.states, exist_ok=True)
+        self.spark, self.log, self.files = spark, log, files_of(spark, folder)
         self._store = Store(spark, log)
 
     def state(self) -> dict:
         """``{"version", "tables": {name: {"born", "segments": [{"path", "rows"}]}}}`` of the latest batch."""
-        got = sorted(x for x in os.listdir(self.states) if x.endswith(".json"))
-        if not got:
-            return {"version": 0, "tables": {}}
-        with open(os.path.join(self.states, got[-1])) as f:
-            return json.load(f)
+        return self._state_before(None)
+
+    def _state_before(self, batch: int | None) -> dict:
+        got = [x for x in self.files.names("_state") if x.endswith(".json") and (batch is None or int(x[:-5]) < batch)]
+        return json.loads(self.files.read(f"_state/{got[-1]}")) if got else {"version": 0, "tables": {}}
 
     def freshness(self) -> int:
         """Commits that the replica lacks."""
@@ -49,11 +47,11 @@ class Replica:
         done: dict[str, int] = {}
         log_files = (
             self.spark.readStream.format("text").option("pathGlobFilter", "*.json").option("wholetext", True)
-            .load("file://" + os.path.abspath(self.log.dir)).select("value", F.col("_metadata.file_name").alias("name"))
+            .load(self.log.files.url("_log")).select("value", F.col("_metadata.file_name").alias("name"))
         )
         q = (
             log_files.writeStream.foreachBatch(lambda df, batch: self._apply(df, batch, done))
-            .option("checkpointLocation", "file://" + os.path.join(self.folder, "_checkpoint")).trigger(availableNow=True).start()
+            .option("checkpointLocation", self.files.url("_checkpoint")).trigger(availableNow=True).start()
         )
         q.awaitTermination()
         if (e := q.exception()) is not None:
@@ -65,11 +63,7 @@ class Replica:
 
     def _apply(self, df: DataFrame, batch: int, done: dict[str, int]) -> None:
         versions = sorted(int(r["name"][:-5]) for r in df.select("name").collect())  # names of commits, no rows of tables
-        earlier = [x for x in sorted(os.listdir(self.states)) if x.endswith(".json") and int(x[:-5]) < batch]
-        state = {"version": 0, "tables": {}}
-        if earlier:
-            with open(os.path.join(self.states, earlier[-1])) as f:
-                state = json.load(f)
+        state = self._state_before(batch)
         base = self.log.state()
         add: dict[str, list[dict]] = {}
         for v in versions:
@@ -95,17 +89,14 @@ class Replica:
             t = base.tables.get(name)
             if not files or t is None or t.born != state["tables"][name]["born"]:
                 continue  # dropped since: a later batch takes it away
-            rel = os.path.join("segments", f"{name}-{batch:09d}")
+            rel = f"segments/{name}-{batch:09d}"
             rows = Table(t.columns, files)
             out = self._store.frame(rows)
-            out.select(RID, *[F.col(f"`{c[0]}`").alias(physical(c[3])) for c in t.columns]).write.mode("overwrite").parquet("file://" + os.path.join(self.folder, rel))
+            out.select(RID, *[F.col(f"`{c[0]}`").alias(physical(c[3])) for c in t.columns]).write.mode("overwrite").parquet(self.files.url(rel))
             state["tables"][name]["segments"].append({"path": rel, "rows": rows.rows})
             done[name] = done.get(name, 0) + rows.rows
         state["version"] = max([state["version"], *versions])
-        temp = os.path.join(self.states, f"_{batch}.tmp")
-        with open(temp, "w") as f:
-            json.dump(state, f)
-        os.replace(temp, os.path.join(self.states, f"{batch:020d}.json"))
+        self.files.replace(f"_state/{batch:020d}.json", json.dumps(state).encode())
 
     def _table(self, name: str) -> tuple[Table, list[dict]]:
         t, s = self.log.state().tables.get(name), self.state()["tables"].get(name)
@@ -118,7 +109,7 @@ class Replica:
     def relation(self, name: str) -> Relation:
         t, segments = self._table(name)
         schema = self._store.schema(t)
-        paths = ["file://" + os.path.join(self.folder, s["path"]) for s in segments]
+        paths = [self.files.url(s["path"]) for s in segments]
         df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return Relation(df.select(RID, *[F.col(physical(c[3])).alias(c[0]) for c in t.columns]), rid=True)
 
@@ -165,7 +156,7 @@ def follow(spark: SparkSession, log: CommitLog, on_commit: Callable[[int, list[d
             on_commit(v, log.read(v))
             seen += 1
 
-    src = spark.readStream.format("text").option("pathGlobFilter", "*.json").option("wholetext", True).load("file://" + os.path.abspath(log.dir)).select(F.col("_metadata.file_name").alias("name"))
+    src = spark.readStream.format("text").option("pathGlobFilter", "*.json").option("wholetext", True).load(log.files.url("_log")).select(F.col("_metadata.file_name").alias("name"))
     q = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return seen

@@ -6,10 +6,15 @@ import pytest
 
 from larkspan.errors import EngineError, ExecError, TxnError
 from larkspan.session import Database
+from larkspan.sources.fs import HadoopFiles, LocalFiles
 from larkspan.sources.log import CommitLog, State
 from tests.test_sql import fill, rows
 
 
+def log_path(log, version):
+    return os.path.join(log.files.root, log.name(version))
+
+
 def count(session, table="t"):
     return session.execute(f"SELECT COUNT(*) FROM {table}").rows[0][0]
 
@@ -147,20 +152,20 @@ def test_torn_damaged_and_foreign_logs(spark, tmp_path):
     db = Database.create(spark, folder)
     fill(db, "t", "id INTEGER", [(1,)])
     db.execute("INSERT INTO t VALUES (2)")
-    raw = open(db.log.path(3), "rb").read()
+    raw = open(log_path(db.log, 3), "rb").read()
     for cut in range(0, len(raw), 7):
-        with open(db.log.path(3), "wb") as f:
+        with open(log_path(db.log, 3), "wb") as f:
             f.write(raw[:cut])
         assert Database.open(spark, folder).row_count("t") == 1
-    with open(db.log.path(3), "wb") as f:
+    with open(log_path(db.log, 3), "wb") as f:
         f.write(raw)
     assert Database.open(spark, folder).row_count("t") == 2
-    good = open(db.log.path(2), "rb").read()
-    with open(db.log.path(2), "wb") as f:
+    good = open(log_path(db.log, 2), "rb").read()
+    with open(log_path(db.log, 2), "wb") as f:
         f.write(good[:-3] + b"xyz")
     with pytest.raises(ExecError, match="damaged"):
         Database.open(spark, folder)
-    os.unlink(db.log.path(2))
+    os.unlink(log_path(db.log, 2))
     with pytest.raises(ExecError, match="lacks 2"):
         Database.open(spark, folder)
     with open(os.path.join(folder, "_meta.json"), "w") as f:
@@ -172,22 +177,22 @@ def test_torn_damaged_and_foreign_logs(spark, tmp_path):
 
 
 def test_log_saves_states(tmp_path):
-    log = CommitLog.create(str(tmp_path / "d"))
+    log = CommitLog.create(LocalFiles(str(tmp_path / "d")))
     assert log.try_commit(1, [{"op": "create_table", "table": "t", "columns": [["a", "bigint", True]]}])
     assert not log.try_commit(1, [])
     for v in range(2, 131):
         assert log.try_commit(v, [{"op": "add_files", "table": "t", "files": [{"path": f"f{v}", "rows": 1}], "next_rid": v}])
-    assert len([x for x in os.listdir(log.dir) if x.endswith(".state")]) == 2
+    assert len([x for x in log.files.names("_log") if x.endswith(".state")]) == 2
     for v in range(1, 100):
-        os.unlink(log.path(v))  # a saved state stands for them
-    assert CommitLog.open(str(tmp_path / "d")).state().tables["t"].rows == 129
+        os.unlink(log_path(log, v))  # a saved state stands for them
+    assert CommitLog.open(LocalFiles(str(tmp_path / "d"))).state().tables["t"].rows == 129
     assert State.load(json.loads(json.dumps(log.state().dump()))) == log.state()
 
 
 def test_log_matches_a_model(tmp_path):
     import random
 
-    rng, log, model = random.Random(5), CommitLog.create(str(tmp_path / "d")), {}
+    rng, log, model = random.Random(5), CommitLog.create(LocalFiles(str(tmp_path / "d"))), {}
     for v in range(1, 200):
         name = f"t{rng.randint(0, 3)}"
         if name not in model:
@@ -200,11 +205,28 @@ def test_log_matches_a_model(tmp_path):
         else:
             op, model[name] = {"op": "add_files", "table": name, "files": [{"path": f"f{v}", "rows": v}], "next_rid": v}, model[name] + v
         assert log.try_commit(v, [op])
-    assert {n: t.rows for n, t in CommitLog.open(str(tmp_path / "d")).state().tables.items()} == model
+    assert {n: t.rows for n, t in CommitLog.open(LocalFiles(str(tmp_path / "d"))).state().tables.items()} == model
 
 
 def test_no_temporary_files_stay(db):
     fill(db, "t", "id INTEGER", [(1,)])
     with pytest.raises(EngineError):
         db.execute("INSERT INTO t VALUES ('x')")
-    assert not [x for x in os.listdir(db.log.dir) if x.endswith(".tmp")]
+    assert not [x for x in db.log.files.names("_log") if x.endswith(".tmp")]
+
+
+def test_a_database_in_a_hadoop_store(spark, tmp_path):
+    """The same through Hadoop's client, as for stores that the operating system does not mount."""
+    files = HadoopFiles(spark, "file://" + str(tmp_path / "h"))
+    db = Database(spark, CommitLog.create(files))
+    fill(db, "t", "id INTEGER, v TEXT", [(1, "a"), (2, None)])
+    db.execute("UPDATE t SET v = 'x' WHERE id = 2")
+    assert not db.log.try_commit(1, []) and files.names("nothing") == []
+    again = Database(spark, CommitLog.open(files))
+    assert rows(again, "SELECT * FROM t") == [(1, "a"), (2, "x")] and again.vacuum() == 1
+    with pytest.raises(ExecError):
+        CommitLog.create(files)
+    files.replace("note", b"1")
+    files.replace("note", b"2")
+    files.move("note", "other")
+    assert files.read("other") == b"2" and not files.exists("note")
