@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.bucketjoin import bucket_join, live_buckets
 from larkspan.llm.components import connected_components
-from larkspan.llm.scratch import materialize
+from larkspan.llm.scratch import materialize, release
 from larkspan.llm.textkit import mix
 
 
@@ -134,7 +134,10 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
 
     entries = materialize(reps.mapInArrow(hashed, "kr long, rep long, weight long"), "cells")
     live = materialize(live_buckets(entries), "live")
+    release(entries)
     counts, edges = bucket_join(live, reps.mapInArrow(packed, "rep long, mult long, data binary"), verify)
+    release(live)
+    release(reps)
     comp = connected_components(edges)
     rep_stats = groups.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     rep_stats = rep_stats.select("f1", "f2", (F.col("mult") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

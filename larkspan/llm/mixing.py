@@ -76,7 +76,8 @@ def source_targets(sizes: DataFrame, weights: DataFrame, total: float | None = N
 
 
 def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(source, source_size, target, epochs, cutoff)``: whole passes, and the largest key that the last, partial one takes (null: none)."""
+    """``(source, source_size, target, epochs, cutoff, extra)``: whole passes, the largest key that the last, partial one takes, and the key
+    of one more document that fills what is left (null: none). Targets are never passed."""
     spark = rows.sparkSession
     ranged = rows.select("source", "key", "size").repartitionByRange(shuffle_partitions(spark), F.asc_nulls_last("source"), "key").withColumn("pid", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")
@@ -88,18 +89,23 @@ def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
     # only the range that the target ends in needs its documents in order; ranges before it are taken whole
     at = at.select("p.source", "pid", "before", "part", "rest").where("before < rest")
     inside = ranged.alias("r").join(at.alias("a"), F.expr("r.pid = a.pid and r.source <=> a.source")).select("r.source", "r.pid", "key", "size", "before", "rest")
-    run = F.sum("size").over(Window.partitionBy("source", "pid").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    cut = inside.withColumn("run", run).where("run - size / 2 <= rest").groupBy("source").agg(F.max("key").alias("cutoff"))
-    return materialize(plan.alias("t").join(cut.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "source_size", "target", "epochs", F.when(F.col("rest") > 0, F.col("cutoff")).alias("cutoff")), "plan")
+    run = F.sum("size").over(Window.partitionBy("source", "pid").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    cut = inside.withColumn("run", run).where("run <= rest").groupBy("source").agg(F.max("key").alias("cutoff"), F.max("run").alias("got"))
+    plan = materialize(plan.alias("t").join(cut.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "source_size", "target", "epochs", "cutoff", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap")), "plan")
+    # what the cut leaves of the target: the one largest document beyond it that still fits, the first of its size
+    beyond = rows.alias("r").join(plan.alias("t"), F.expr("r.source <=> t.source")).where("size > 0 and gap > 0 and size <= gap and (cutoff is null or key > cutoff)")
+    one = beyond.groupBy("r.source", "key").agg(F.sum("size").alias("size"), F.max("gap").alias("gap")).where("size <= gap")
+    one = one.groupBy("source").agg(F.min(F.struct((-F.col("size")).alias("s"), "key")).alias("x")).select("source", F.col("x.key").alias("extra"))
+    return materialize(plan.alias("t").join(one.alias("o"), F.expr("t.source <=> o.source"), "left").select("t.source", "source_size", "target", "epochs", "cutoff", "extra"), "plan")
 
 
-def copies(key: Column, epochs: Column, cutoff: Column) -> Column:
+def copies(key: Column, epochs: Column, cutoff: Column, extra: Column) -> Column:
     """How often the mix takes a row."""
-    return (epochs + F.when(key <= cutoff, 1).otherwise(0)).cast("long")
+    return (epochs + F.when((key <= cutoff) | (key == extra), 1).otherwise(0)).cast("long")
 
 
 def mix_plan(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Rows ``(id, source, size, key)`` and the plan ``(source, source_size, target, epochs, cutoff)`` of a mix."""
+    """Rows ``(id, source, size, key)`` and the plan of a mix, see :func:`cutoffs`."""
     rows = materialize(sized(docs, id_col, text_col, source_col), "sizes")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
     w = weights if isinstance(weights, DataFrame) else cyclic_weights(sizes, tuple(weights))
@@ -111,20 +117,20 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2,
 
     A null source is a source of its own, a null text has size 0 and is taken 0 words. Rows with null or repeated ids are rows
     like others; rows equal in id and text are taken together. Other columns are ignored, an empty table gives no rows.
-    A source's taken words differ from its target by half a document or so.
+    A source's taken words do not pass its target and, where its documents are of many sizes, miss it by a few words.
     """
     rows, plan = mix_plan(docs, weights, most, id_col, text_col, source_col)
     out = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies(F.col("key"), F.col("epochs"), F.col("cutoff"))).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies(F.col("key"), F.col("epochs"), F.col("cutoff"), F.col("extra"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; texts are not shuffled. Rows of size 0 go where no whole epoch takes them."""
     _, plan = mix_plan(docs, weights, most, id_col, text_col, source_col)
     names = docs.columns
-    plan = plan.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("cutoff").alias("_cutoff"))
+    plan = plan.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("cutoff").alias("_cutoff"), F.col("extra").alias("_extra"))
     keyed = _with_key(docs, id_col, text_col, seed)
-    out = keyed.join(plan, keyed[source_col].cast("string").eqNullSafe(plan["_source"])).withColumn("_n", copies(F.col("_key"), F.col("_epochs"), F.col("_cutoff")).cast("int"))
+    out = keyed.join(plan, keyed[source_col].cast("string").eqNullSafe(plan["_source"])).withColumn("_n", copies(F.col("_key"), F.col("_epochs"), F.col("_cutoff"), F.col("_extra")).cast("int"))
     return out.where("_n > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _n)"))).select(*names)
 
 

@@ -106,6 +106,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return shared_sets([np.frombuffer(d, np.uint64) for d in data], threshold)
 
     counts, edges = bucket_join(live, payload, verify)
+    release(live)
     comp = connected_components(edges)
     stats = groups.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     stats = stats.select("f1", "f2", (F.col("mult") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
