@@ -75,9 +75,9 @@ def source_targets(sizes: DataFrame, weights: DataFrame, total: float | None = N
     return t.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(source, source_size, target, epochs, cutoff, extra)``: whole passes, the largest key that the last, partial one takes, and the key
-    of one more document that fills what is left (null: none). Targets are never passed."""
+def cutoffs(rows: DataFrame, targets: DataFrame, fill: int = 2) -> DataFrame:
+    """``(source, source_size, target, epochs, cutoff, extra)``: whole passes, the largest key that the last, partial one takes (null: none),
+    and the keys of up to ``fill`` more documents that bring a source nearer to its target."""
     spark = rows.sparkSession
     ranged = rows.select("source", "key", "size").repartitionByRange(shuffle_partitions(spark), F.asc_nulls_last("source"), "key").withColumn("pid", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")
@@ -91,17 +91,24 @@ def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
     inside = ranged.alias("r").join(at.alias("a"), F.expr("r.pid = a.pid and r.source <=> a.source")).select("r.source", "r.pid", "key", "size", "before", "rest")
     run = F.sum("size").over(Window.partitionBy("source", "pid").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
     cut = inside.withColumn("run", run).where("run <= rest").groupBy("source").agg(F.max("key").alias("cutoff"), F.max("run").alias("got"))
-    plan = materialize(plan.alias("t").join(cut.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "source_size", "target", "epochs", "cutoff", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap")), "plan")
-    # what the cut leaves of the target: the one largest document beyond it that still fits, the first of its size
-    beyond = rows.alias("r").join(plan.alias("t"), F.expr("r.source <=> t.source")).where("size > 0 and gap > 0 and size <= gap and (cutoff is null or key > cutoff)")
-    one = beyond.groupBy("r.source", "key").agg(F.sum("size").alias("size"), F.max("gap").alias("gap")).where("size <= gap")
-    one = one.groupBy("source").agg(F.min(F.struct((-F.col("size")).alias("s"), "key")).alias("x")).select("source", F.col("x.key").alias("extra"))
-    return materialize(plan.alias("t").join(one.alias("o"), F.expr("t.source <=> o.source"), "left").select("t.source", "source_size", "target", "epochs", "cutoff", "extra"), "plan")
+    none = F.array().cast("array<double>")
+    plan = plan.alias("t").join(cut.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "source_size", "target", "epochs", "cutoff", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"), none.alias("extra"))
+    plan = materialize(plan, "plan")
+    for _ in range(fill):
+        # of the documents beyond the cut the one that brings the source nearest to its target
+        fits = "size > 0 and gap > 0 and size < 2 * gap and (cutoff is null or key > cutoff) and not array_contains(extra, key)"
+        beyond = rows.alias("r").join(plan.alias("t"), F.expr("r.source <=> t.source")).where(fits)
+        one = beyond.groupBy("r.source", "key").agg(F.sum("size").alias("size"), F.max("gap").alias("gap")).where("size < 2 * gap")
+        one = one.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "key", "size")).alias("x"))
+        more = plan.alias("t").join(one.alias("o"), F.expr("t.source <=> o.source"), "left")
+        extra = F.when(F.col("x").isNotNull(), F.array_append("extra", F.col("x.key"))).otherwise(F.col("extra"))
+        plan = materialize(more.select("t.source", "source_size", "target", "epochs", "cutoff", (F.col("gap") - F.coalesce("x.size", F.lit(0))).alias("gap"), extra.alias("extra")), "plan")
+    return plan.drop("gap")
 
 
 def copies(key: Column, epochs: Column, cutoff: Column, extra: Column) -> Column:
     """How often the mix takes a row."""
-    return (epochs + F.when((key <= cutoff) | (key == extra), 1).otherwise(0)).cast("long")
+    return (epochs + F.when((key <= cutoff) | F.array_contains(extra, key), 1).otherwise(0)).cast("long")
 
 
 def mix_plan(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -117,7 +124,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2,
 
     A null source is a source of its own, a null text has size 0 and is taken 0 words. Rows with null or repeated ids are rows
     like others; rows equal in id and text are taken together. Other columns are ignored, an empty table gives no rows.
-    A source's taken words do not pass its target and, where its documents are of many sizes, miss it by a few words.
+    Where a source's documents are of many sizes, its taken words miss the target by a few.
     """
     rows, plan = mix_plan(docs, weights, most, id_col, text_col, source_col)
     out = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"))
