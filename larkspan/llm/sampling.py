@@ -15,4 +15,6 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, most: int, se
     names = [c for c in labels.columns if c != id_col]
     one = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*names)).alias("_l"))
     picked = one.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(most).select(F.col(id_col).alias("_lid"), *[F.col(f"_l.{c}").alias(c) for c in names])
-    return docs.join(F.broadcast(picked), docs[id_col] == picked["_lid"]).drop("_lid")
+    found = docs.join(F.broadcast(picked), docs[id_col] == picked["_lid"])
+    # ids may repeat in docs: the bound holds for rows, too
+    return found.orderBy("_lid", F.xxhash64(*[docs[c] for c in docs.columns])).limit(most).drop("_lid")
