@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspan.errors import BindError
@@ -34,21 +35,28 @@ class Frames:
 
 
 class ParquetTables(Frames):
-    """``<folder>/<name>.parquet`` as table ``name``; further ``views`` may be given. The folder may be in any store that Spark reads."""
+    """``<folder>/<name>.parquet`` as table ``name``; further ``views`` may be given. The folder may be in any store that Spark reads.
+
+    A table's files and schema are listed once; ``refresh`` forgets them, for folders that others write to.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, views: dict[str, Callable[[], DataFrame]] | None = None):
         super().__init__(spark, views or {})
         self.folder = folder.rstrip("/")
+        self._known: dict[str, DataFrame] = {}
+
+    def refresh(self) -> None:
+        self._known.clear()
 
     def relation(self, name: str) -> Relation:
         if name in self.views:
             return super().relation(name)
-        from pyspark.errors import AnalysisException
-
-        try:
-            return Relation(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
-        except AnalysisException as e:
-            raise BindError(f"no table {name}: {str(e).splitlines()[0]}") from e
+        if name not in self._known:
+            try:
+                self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            except AnalysisException as e:
+                raise BindError(f"no table {name}: {str(e).splitlines()[0]}") from e
+        return Relation(self._known[name])
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, null: str = "") -> DataFrame:
