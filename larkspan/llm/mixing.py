@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Complete epochs of a source come first. What is left of its target is filled by the documents of the smallest
-exponential keys (-ln u / quality), found by a prefix sum of sizes over ranges of (source, key): a source may
-span any number of ranges, and each source's answer is one cut-off key.
+Complete epochs of a source come first. What is left of its target is filled by documents in the order of
+exponential keys (-ln u / quality), skipping those that do not fit, by prefix sums of sizes over ranges of (source, key): a source may
+span any number of ranges, and each source's answer is a few runs of keys, each with a largest size.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.scratch import materialize, shuffle_partitions
+from larkspan.llm.scratch import materialize, release, shuffle_partitions
 from larkspan.llm.textkit import SPACE, WORD, buffers, runs, slices
 
+RUNS = "array<struct<above: double, upto: double, most: double>>"
+
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int = 7) -> DataFrame:
     """``docs`` as ``(id, source, size, key)``: size in ``[^\\x20\\x09-\\x0D]+`` matches, key exponential with the text's quality as rate.
@@ -75,48 +77,119 @@ def source_targets(sizes: DataFrame, weights: DataFrame, total: float | None = N
     return t.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def cutoffs(rows: DataFrame, targets: DataFrame, fill: int = 2) -> DataFrame:
-    """``(source, source_size, target, epochs, cutoff, extra)``: whole passes, the largest key that the last, partial one takes (null: none),
-    and the keys of up to ``fill`` more documents that bring a source nearer to its target."""
+def _untaken(groups: DataFrame, plan: DataFrame, *columns: str) -> DataFrame:
+    """The documents ``(source, pid, key, size)`` that ``plan`` does not take, with ``columns`` of it."""
+    both = groups.alias("g").join(plan.alias("t"), F.expr("g.source <=> t.source"))
+    return both.where("not array_contains(forced, key) and not exists(runs, x -> key > x.above and key <= x.upto and size <= x.most)").select("g.source", "pid", "key", "size", *columns)
+
+
+def _walk(t):  # type: ignore[no-untyped-def]
+    """One range in key order: a document is taken when it fits. A run ends at a document that fitted when the run began."""
+    import pandas as pd
+
+    t = t.sort_values("key", kind="stable")
+    gap, most, above, upto = (t[c].iloc[0] for c in ("left", "most", "above", "upto"))
+    done = []
+    for key, size in zip(t["key"], t["size"]):
+        if size <= gap:
+            gap, upto = gap - size, key
+        elif size <= most:
+            done.append({"above": above, "upto": upto, "most": most})
+            above, most = upto, gap
+    if upto > above:
+        done.append({"above": above, "upto": upto, "most": most})
+    return pd.DataFrame({"source": [t["source"].iloc[0]], "left": [gap], "more": [done]})
+
+
+def _fill(groups: DataFrame, plan: DataFrame) -> DataFrame:
+    """Go through each source's documents in key order and take those that fit what is left of ``gap``.
+
+    A round takes whole ranges up to the one that the gap ends in, and walks through that one; later ranges are left to the next round.
+    """
+    names = plan.columns
+    plan = plan.withColumn("at", F.lit(-1))
+    while True:
+        able = groups.alias("g").join(plan.alias("t"), F.expr("g.source <=> t.source")).where("pid > at and size <= gap and not array_contains(forced, key)")
+        parts = able.groupBy("g.source", "pid").agg(F.sum("size").alias("part"), F.max("key").alias("last"), F.max("gap").alias("gap"))
+        parts = parts.withColumn("run", F.sum("part").over(Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)))
+        ends = parts.groupBy("source").agg(F.expr("min(pid) filter (where run > gap)").alias("cross"), F.expr("max(run) filter (where run <= gap)").alias("got"), F.expr("max(last) filter (where run <= gap)").alias("last"))
+        ends = materialize(ends, "ends")
+        more = not ends.where("cross is not null").isEmpty()
+        step = plan.alias("t").join(ends.alias("e"), F.expr("t.source <=> e.source"), "left").select("t.*", "cross", "got", "last", F.expr("if(size(runs) > 0, runs[size(runs) - 1].upto, -1D)").alias("above"))
+        step = step.withColumn("left", F.expr("gap - coalesce(got, 0)"))
+        if more:
+            inside = groups.alias("g").join(step.alias("t"), F.expr("g.source <=> t.source and g.pid = t.cross")).where("g.size <= gap and not array_contains(forced, key)")
+            inside = inside.select("g.source", "key", "g.size", "left", F.col("gap").alias("most"), "above", F.coalesce("last", "above").alias("upto"))
+            walked = inside.groupBy("source").applyInPandas(_walk, f"source string, left double, more {RUNS}")
+            step = step.alias("t").join(walked.alias("w"), F.expr("t.source <=> w.source"), "left").select("t.*", F.col("w.left").alias("then"), "more")
+        else:
+            step = step.withColumn("then", F.lit(None).cast("double")).withColumn("more", F.lit(None).cast(RUNS))
+        whole = f"if(last is null, cast(array() as {RUNS}), array(named_struct('above', above, 'upto', last, 'most', gap)))"
+        runs_now = F.expr(f"concat(runs, coalesce(more, {whole}))")
+        step = step.withColumn("runs", runs_now).withColumn("gap", F.coalesce("then", "left")).withColumn("at", F.coalesce("cross", F.lit(2**31 - 1)))
+        plan = materialize(step.select(*names, "at"), "plan")
+        release(ends)
+        if not more:
+            return plan.drop("at")
+
+
+def _close(groups: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add ``closing``, the key of the document that goes over the target but nearer to it, and ``miss``. Every other document is longer than the gap."""
+    one = _untaken(groups, plan.where("gap > 0"), "gap").where("size < 2 * gap").groupBy("source").agg(F.min(F.struct("size", "key")).alias("x"))
+    both = plan.alias("t").join(one.alias("o"), F.expr("t.source <=> o.source"), "left")
+    return materialize(both.select("t.*", F.col("x.key").alias("closing"), F.abs(F.col("gap") - F.coalesce("x.size", F.lit(0))).alias("miss")), "closed")
+
+
+def cutoffs(rows: DataFrame, targets: DataFrame, near: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """``(source, source_size, target, epochs, runs, extra)`` and ``(source, key)`` of exceptions: what the whole passes and the last, partial one take.
+
+    The partial pass goes through all documents in key order and skips only those that do not fit what is left. A document of size up to
+    ``most`` with a key in ``(above, upto]`` of a run is taken, so are the keys in ``extra``. Rows that share a key are one document;
+    exceptions are those too long together, though one row is not. A source that stays off its target by more than the share ``near``, since all
+    that fits is taken, begins anew with a skipped document ahead of the others, as long as that brings it nearer.
+    """
     spark = rows.sparkSession
-    ranged = rows.select("source", "key", "size").repartitionByRange(shuffle_partitions(spark), F.asc_nulls_last("source"), "key").withColumn("pid", F.spark_partition_id())
-    ranged = materialize(ranged, "ranged")
-    parts = ranged.groupBy("source", "pid").agg(F.sum("size").alias("part"))
-    before = F.coalesce(F.sum("part").over(Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = rows.groupBy("source", "key").agg(F.sum("size").alias("size"), F.max("size").alias("one")).where("size > 0")
+    groups = materialize(groups.repartitionByRange(shuffle_partitions(spark), F.asc_nulls_last("source"), "key").withColumn("pid", F.spark_partition_id()), "ranged")
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    at = parts.withColumn("before", before).alias("p").join(plan.alias("t"), F.expr("p.source <=> t.source"))
-    # only the range that the target ends in needs its documents in order; ranges before it are taken whole
-    at = at.select("p.source", "pid", "before", "part", "rest").where("before < rest")
-    inside = ranged.alias("r").join(at.alias("a"), F.expr("r.pid = a.pid and r.source <=> a.source")).select("r.source", "r.pid", "key", "size", "before", "rest")
-    run = F.sum("size").over(Window.partitionBy("source", "pid").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    cut = inside.withColumn("run", run).where("run <= rest").groupBy("source").agg(F.max("key").alias("cutoff"), F.max("run").alias("got"))
-    none = F.array().cast("array<double>")
-    plan = plan.alias("t").join(cut.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "source_size", "target", "epochs", "cutoff", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"), none.alias("extra"))
-    plan = materialize(plan, "plan")
-    for _ in range(fill):
-        # of the documents beyond the cut the one that brings the source nearest to its target
-        fits = "size > 0 and gap > 0 and size < 2 * gap and (cutoff is null or key > cutoff) and not array_contains(extra, key)"
-        beyond = rows.alias("r").join(plan.alias("t"), F.expr("r.source <=> t.source")).where(fits)
-        one = beyond.groupBy("r.source", "key").agg(F.sum("size").alias("size"), F.max("gap").alias("gap")).where("size < 2 * gap")
-        one = one.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "key", "size")).alias("x"))
-        more = plan.alias("t").join(one.alias("o"), F.expr("t.source <=> o.source"), "left")
-        extra = F.when(F.col("x").isNotNull(), F.array_append("extra", F.col("x.key"))).otherwise(F.col("extra"))
-        plan = materialize(more.select("t.source", "source_size", "target", "epochs", "cutoff", (F.col("gap") - F.coalesce("x.size", F.lit(0))).alias("gap"), extra.alias("extra")), "plan")
-    return plan.drop("gap")
-
-
-def copies(key: Column, epochs: Column, cutoff: Column, extra: Column) -> Column:
-    """How often the mix takes a row."""
-    return (epochs + F.when((key <= cutoff) | F.array_contains(extra, key), 1).otherwise(0)).cast("long")
-
-
-def mix_plan(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Rows ``(id, source, size, key)`` and the plan of a mix, see :func:`cutoffs`."""
+    plan = plan.withColumn("gap", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = plan.withColumn("room", F.col("gap")).withColumn("runs", F.expr(f"cast(array() as {RUNS})")).withColumn("forced", F.array().cast("array<double>"))
+    names = plan.columns
+    best = _close(groups, _fill(groups, plan)).withColumn("open", F.lit(True))
+    while True:
+        off = best.where(F.col("open") & (F.col("room") > 0) & (F.col("miss") > near * F.col("target")))
+        # the first in key order of those that would fit an empty partial pass, else the shortest
+        ahead = _untaken(groups, off, "room").groupBy("source").agg(F.expr("min(struct(key, size)) filter (where size <= room)").alias("fits"), F.min(F.struct("size", "key")).alias("short"))
+        ahead = ahead.select("source", F.coalesce("fits.key", "short.key").alias("first"), F.coalesce("fits.size", "short.size").alias("size"))
+        anew = off.alias("t").join(ahead.alias("a"), F.expr("t.source <=> a.source")).select("t.source", "source_size", "target", "epochs", (F.col("room") - F.col("size")).alias("gap"), (F.col("room") - F.col("size")).alias("room"), F.expr(f"cast(array() as {RUNS})").alias("runs"), F.array_append("forced", F.col("first")).alias("forced"))
+        anew = materialize(anew.select(*names), "anew")
+        if anew.isEmpty():
+            break
+        tried = _close(groups, _fill(groups, anew))
+        new = best.alias("t").join(tried.alias("n"), F.expr("t.source <=> n.source"), "left")
+        nearer = F.expr("coalesce(n.miss < t.miss, false)")
+        best = materialize(new.select("t.source", *[F.when(nearer, F.col(f"n.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in tried.columns if c != "source"], nearer.alias("open")), "best")
+    chosen = best.select("source", "source_size", "target", "epochs", "runs", F.when(F.col("closing").isNotNull(), F.array_append("forced", F.col("closing"))).otherwise(F.col("forced")).alias("extra"))
+    odd = groups.where("size > one").alias("g").join(chosen.alias("t"), F.expr("g.source <=> t.source"))
+    odd = odd.where(_in_runs(F.col("key"), F.col("one"), F.col("runs")) & ~_in_runs(F.col("key"), F.col("size"), F.col("runs")))
+    return chosen, materialize(odd.select("g.source", "key"), "odd")
+
+
+def _in_runs(key: Column, size: Column, runs: Column) -> Column:
+    return F.exists(runs, lambda x: (key > x["above"]) & (key <= x["upto"]) & (size <= x["most"]))
+
+
+def copies(key: Column, size: Column, epochs: Column, runs: Column, extra: Column, odd: Column) -> Column:
+    """How often the mix takes a row; ``odd`` marks the exceptions to the runs."""
+    return (epochs + F.when((_in_runs(key, size, runs) & ~odd) | F.array_contains(extra, key), 1).otherwise(0)).cast("long")
+
+
+def mix_plan(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``(id, source, size, key)`` and the plan of a mix with its exceptions, see :func:`cutoffs`."""
     rows = materialize(sized(docs, id_col, text_col, source_col), "sizes")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
     w = weights if isinstance(weights, DataFrame) else cyclic_weights(sizes, tuple(weights))
-    return rows, cutoffs(rows, source_targets(sizes, w, most=most))
+    return rows, *cutoffs(rows, source_targets(sizes, w, most=most))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -126,34 +199,39 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2,
     like others; rows equal in id and text are taken together. Other columns are ignored, an empty table gives no rows.
     Where a source's documents are of many sizes, its taken words miss the target by a few.
     """
-    rows, plan = mix_plan(docs, weights, most, id_col, text_col, source_col)
-    out = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies(F.col("key"), F.col("epochs"), F.col("cutoff"), F.col("extra"))).alias("taken"))
+    rows, plan, odd = mix_plan(docs, weights, most, id_col, text_col, source_col)
+    out = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).join(odd.alias("o"), F.expr("r.source <=> o.source and r.key = o.key"), "left")
+    n = copies(F.col("r.key"), F.col("size"), F.col("epochs"), F.col("runs"), F.col("extra"), F.col("o.key").isNotNull())
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * n).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; texts are not shuffled. Rows of size 0 go where no whole epoch takes them."""
-    _, plan = mix_plan(docs, weights, most, id_col, text_col, source_col)
+    _, plan, odd = mix_plan(docs, weights, most, id_col, text_col, source_col)
     names = docs.columns
-    plan = plan.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("cutoff").alias("_cutoff"), F.col("extra").alias("_extra"))
+    plan = plan.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("runs").alias("_runs"), F.col("extra").alias("_extra"))
+    odd = odd.select(F.col("source").alias("_odd_source"), F.col("key").alias("_odd"))
     keyed = _with_key(docs, id_col, text_col, seed)
-    out = keyed.join(plan, keyed[source_col].cast("string").eqNullSafe(plan["_source"])).withColumn("_n", copies(F.col("_key"), F.col("_epochs"), F.col("_cutoff"), F.col("_extra")).cast("int"))
+    out = keyed.join(plan, keyed[source_col].cast("string").eqNullSafe(plan["_source"])).join(odd, F.expr("_source <=> _odd_source and _key = _odd"), "left")
+    out = out.withColumn("_n", copies(F.col("_key"), F.col("_size"), F.col("_epochs"), F.col("_runs"), F.col("_extra"), F.col("_odd").isNotNull()).cast("int"))
     return out.where("_n > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _n)"))).select(*names)
 
 
 def _with_key(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """``docs`` with its rows' keys as ``_key``, equal to those of :func:`sized`."""
+    """``docs`` with its rows' keys and sizes as ``_key`` and ``_size``, equal to those of :func:`sized`."""
     text = F.col(text_col).cast("string")
     u = (F.xxhash64(F.col(id_col), text, F.lit(seed).cast("long")).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
-    def share(texts):  # type: ignore[no-untyped-def]
+    def measured(texts):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        out = []
+        share, size = [np.zeros(0)], [np.zeros(0, np.int64)]
         for b in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), "t"):
             data, off = buffers(b.column("t"))
             good = np.concatenate([[0], np.cumsum((WORD | SPACE)[data])])
-            out.append(np.maximum(0.05, (good[off[1:]] - good[off[:-1]]) / np.maximum(1, off[1:] - off[:-1])))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+            share.append(np.maximum(0.05, (good[off[1:]] - good[off[:-1]]) / np.maximum(1, off[1:] - off[:-1])))
+            size.append(np.bincount(runs(data, off, ~SPACE)[2], minlength=b.num_rows).astype(np.int64))
+        return pd.DataFrame({"share": np.concatenate(share), "size": np.concatenate(size)})
 
-    return docs.withColumn("_key", -F.log(u) / F.pandas_udf(share, "double")(text))
+    out = docs.withColumn("_m", F.pandas_udf(measured, "share double, size long")(text))
+    return out.withColumn("_key", -F.log(u) / F.col("_m.share")).withColumn("_size", F.col("_m.size")).drop("_m")

@@ -176,3 +176,43 @@ def test_mix_empty(spark):
     docs = documents(spark, [])
     assert mixing.mix_sources(docs).count() == 0 and mixing.mixed_documents(docs).count() == 0
     assert mixing.mix_sources(documents(spark, [(1, None, None), (2, "", "a")])).count() == 2
+
+
+def test_mix_with_a_dominant_document(spark):
+    # in each source one document holds 60 %, other sizes are 20 to 40; keys differ by source, so that it comes early and late
+    rows, sizes = [], {}
+    for k in range(30):
+        n = [20 + (7 * i + k) % 21 for i in range(200)]
+        n.append(int(1.5 * sum(n)))
+        rows += [(len(rows) + i, "w " * w, f"s{k:02d}") for i, w in enumerate(n)]
+        sizes[f"s{k:02d}"] = sum(n)
+    docs = documents(spark, rows)
+    share = [0.1, 0.3, 0.39, 0.45, 0.65, 0.8, 1.3, 1.6]
+    weights = spark.createDataFrame([(s, share[i % 8] * sizes[s]) for i, s in enumerate(sizes)] + [("rest", 0.0)], "source string, weight double")
+    got = mixing.mix_sources(docs, weights=weights).collect()
+    source = {i: s for i, _, s in rows}
+    taken, target, big = dict.fromkeys(sizes, 0), {}, {s: 0 for s in sizes}
+    for r in got:
+        s = source[r.doc_id]
+        taken[s], target[s], big[s] = taken[s] + r.taken, r.target, max(big[s], r.size)
+    for s in sizes:
+        left = target[s] % sizes[s]
+        small = sizes[s] - big[s]
+        # between all short ones and the long one alone nothing can be had
+        best = min(left - small, big[s] - left) if small < left < big[s] else 0
+        assert abs(taken[s] - target[s]) <= best + 20, (s, taken[s], target[s], sizes[s])
+    n = mixing.mixed_documents(docs, weights=weights).groupBy("source").agg(F.sum(F.expr("regexp_count(text, 'w')")).alias("n"))
+    assert {r.source: r.n for r in n.collect()} == {s: t for s, t in taken.items() if t}
+
+
+def test_mix_takes_equal_rows_together(spark):
+    rows = [(i // 2, "w " * (1 + (i // 2) % 40), "s" if i < 1200 else "t") for i in range(2400)]
+    docs = documents(spark, rows)
+    got = mixing.mix_sources(docs, weights=(1, 3)).collect()
+    pairs = {}
+    for r in got:
+        pairs.setdefault(r.doc_id, set()).add(r.taken)
+    assert all(len(v) == 1 for v in pairs.values())
+    for t in {r.target for r in got}:
+        assert abs(sum(r.taken for r in got if r.target == t) - t) <= 1
+    assert mixing.mixed_documents(docs, weights=(1, 3)).agg(F.sum(F.expr("regexp_count(text, 'w')"))).first()[0] == sum(r.taken for r in got)
