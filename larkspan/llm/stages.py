@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import bpe, line_dedup, mixing, ngram_join, toxicity
+from larkspan.llm.scratch import materialize, shuffle_partitions
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
@@ -27,9 +28,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    gone = ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of each class of near-duplicates the document with the smallest id stays.
+
+    Where ids repeat, each text of an id is a document of its own (by a hash, in its order), and of rows equal in both one stays.
+    Rows with a null id stay.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
+        gone = ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    names, key = docs.columns, ["doc_id", "_hash"]
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    rows = docs.where("doc_id is not null").groupBy(*key).agg(F.count("*").alias("_n"))
+    # numbers in the order of id and hash
+    rows = rows.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows, "row_keys")
+    found = ngram_join.ngram_jaccard_join(docs.join(rows, key).select("_row", "text"), id_col="_row").where(~F.col("kept"))
+    left = docs.join(rows.join(found, "_row").select(*key), key, "left_anti")
+    repeated = rows.where("_n > 1").select(*key)
+    once = left.join(repeated, key, "left_anti").select(*names)
+    first = left.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*names)).alias("_first"))
+    return once.unionByName(first.select("_first.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

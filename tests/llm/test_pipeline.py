@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
+from larkspan.llm import stages  # noqa: E402
 from larkspan.llm import toxicity as T  # noqa: E402
 from tests.llm.helpers import components, dedup_lines, jaccard_links  # noqa: E402
 
@@ -101,3 +102,13 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
 def test_nothing_else_imports_this_subpackage():
     found = subprocess.run(["grep", "-rlE", "larkspan[.]llm|from larkspan import .*llm", "--include=*.py", "larkspan"], cwd=REPO, capture_output=True, text=True).stdout.split()
     assert found and all(x.startswith("larkspan/llm/") for x in found)
+
+
+def test_near_duplicates_where_ids_repeat(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, a), (2, a), (3, b), (5, c), (5, b), (6, b + " tail"), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    left = stages.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    # one row of the class of a, one of b, and c, which shares its id with a copy of b; null ids take no part
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, a), (0, a), (1, a), (3, b), (5, c)])
