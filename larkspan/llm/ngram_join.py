@@ -1,9 +1,8 @@
-"""N-gram Jaccard self-join: MinHash LSH forest, then exact verification on shingle sets.
+"""N-gram Jaccard self-join: MinHash banding, then exact verification on shingle sets.
 
-Each tree holds the documents' signatures as sorted prefix strings. The matched prefix is shortened
-from the longest until a pair at the threshold meets in some tree with the target recall; a
-trie node at that depth is a bucket, and nodes of equal member sets (deeper shared prefixes across
-trees) are compared once.
+Bands of one fixed number of minima stand in for an LSH forest: no signature is sorted as a trie, and no prefix is
+shortened for a document. The number is the largest at which a pair at the threshold meets in some band with the target
+recall; equal band keys form a bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from larkspan.llm.textkit import mix, shingles, slices
 
 
 def prefix_depth(threshold: float, trees: int, longest: int, recall: float) -> int:
-    """Shorten the matched prefix from ``longest`` until ``trees`` tries reach ``recall`` at ``threshold``."""
+    """The most minima a band, ``longest`` at most, with which ``trees`` bands reach ``recall`` at ``threshold``: the same for all documents."""
     for d in range(longest, 0, -1):
         if 1 - (1 - threshold**d) ** trees >= recall:
             return d
@@ -42,7 +41,7 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_keys(sets: list[np.ndarray], trees: int, depth: int, seed: int) -> np.ndarray:
-    """The key of each set's trie node in each tree (odd: every item is at home). Sets are not empty."""
+    """The key of each set in each band (odd: every item is at home). Sets are not empty."""
     flat = np.concatenate(sets)
     off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
     mult = mix(np.arange(1, trees * depth + 1, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)
