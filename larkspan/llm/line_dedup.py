@@ -1,6 +1,7 @@
 """Line dedup over the corpus, as a keep bitmap per document.
 
-Hashes of normalised lines are range-partitioned together with the document id, so that a very common line
+A normalised line is known by its BLAKE2 digest of 128 bits, so that no two different lines meet by any structure of theirs.
+Digests are range-partitioned together with the document id, so that a very common line
 spreads over partitions, and sorted by hash, then document (largest first), then position. Streaming over a partition keeps a line's first
 document and drops the rest; lines that touch a partition's edge are settled by
 joining the edges' totals, at most two rows per partition.
@@ -8,6 +9,9 @@ joining the edges' totals, at most two rows per partition.
 
 from __future__ import annotations
 
+import hashlib
+import io
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -17,15 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.scratch import materialize, shuffle_partitions
-from larkspan.llm.textkit import SPACE, buffers, mix, slices, span_hashes
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_CONTINUED = np.zeros(256, np.int32)
-_CONTINUED[128:192] = 1
-
+from larkspan.llm.names import free_names
+from larkspan.llm.scratch import materialize, release, shuffle_partitions
+from larkspan.llm.textkit import slices
 
+#: ASCII blanks, which a line's key loses at both ends.
+BLANKS = b" \t\n\x0b\x0c\r"
 NAMES = ["kind", "h1", "h2", "id", "th", "pos", "n", "docs"]
 TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
@@ -46,20 +47,12 @@ def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, row, np.arange(len(row)) - first[row]
 
 
-def _keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each stripped, ASCII-lower-cased line, and its code points."""
-    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
-    at = np.flatnonzero(~SPACE[data])
-    a, b = solid[s], solid[e]
-    full = b > a
-    s2, e2 = np.zeros_like(s), np.zeros_like(s)
-    s2[full], e2[full] = at[a[full]], at[b[full] - 1] + 1
-    low = _LOWER[data]
-    cont = np.concatenate([[0], np.cumsum(_CONTINUED[data])])
-    points = (e2 - s2) - (cont[e2] - cont[s2])
-    h1 = span_hashes(low, s2, e2)
-    h2 = span_hashes((low ^ np.uint8(0x55)), s2, e2)
-    return h1, mix(h2 + np.uint64(77)), points
+def line_digests(text: bytes, min_points: int) -> Iterator[tuple[int, bytes]]:
+    """``(position, digest)`` of each line whose key has ``min_points`` code points or more; no more than a line is held at once."""
+    for pos, line in enumerate(io.BytesIO(text)):
+        key = line.strip(BLANKS)
+        if len(key) >= min_points and (key.isascii() or len(key.decode()) >= min_points):
+            yield pos, hashlib.blake2b(key.lower(), digest_size=16).digest()
 
 
 def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_points: int = 20, min_docs: int = 3) -> DataFrame:
@@ -75,19 +68,28 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").withColumn("th", F.xxhash64("text"))
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h1", "h2", "id", "th", "pos", "n"]
+
+        def out(rows: list[tuple[bytes, int, int, int, int]]) -> pa.RecordBatch:
+            digest, *rest = zip(*rows) if rows else [()] * 5
+            h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.int32(), pa.int32())))], names)
+
         for whole in batches:
             for b in slices(whole, "text"):
-                data, off = buffers(b.column("text"))
-                s, e, row, pos = line_spans(data, off)
-                h1, h2, points = _keys(data, s, e)
-                at = np.flatnonzero(points >= min_points)
-                n = np.bincount(row, minlength=b.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), b.column("id").take(row[at]), b.column("th").take(row[at]), pa.array(pos[at].astype(np.int32)), pa.array(n[row[at]].astype(np.int32))],
-                    ["h1", "h2", "id", "th", "pos", "n"],
-                )
-
-    rows = src.mapInArrow(exploded, "h1 long, h2 long, id long, th long, pos int, n int")
+                rows: list[tuple[bytes, int, int, int, int]] = []
+                for id_, th, text in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), pc.fill_null(b.column("text"), "").cast(pa.binary()).to_pylist()):
+                    n = text.count(b"\n") + 1
+                    for pos, digest in line_digests(text, min_points):
+                        rows.append((digest, id_, th, pos, n))
+                        if len(rows) >= 1 << 16:
+                            yield out(rows)
+                            rows = []
+                yield out(rows)
+
+    # written first: dealing to ranges samples its input, and would read and digest all texts twice
+    rows = materialize(src.mapInArrow(exploded, "h1 long, h2 long, id long, th long, pos int, n int"), "line-keys")
+    keys = rows
     rows = rows.repartitionByRange(shuffle_partitions(spark), "h1", "h2", F.desc("id")).sortWithinPartitions("h1", "h2", F.desc("id"), "pos")
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +150,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield edge(key, docs, top)
 
     found = materialize(rows.mapInArrow(streamed, "kind int, h1 long, h2 long, id long, th long, pos int, n int, docs long"), "lines")
+    release(keys)
     edges = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("id").alias("top")).where(F.col("all_docs") >= min_docs)
     late = found.where("kind = 1").join(F.broadcast(edges), ["h1", "h2"]).where("id != top")  # two rows per partition at most
     lost = found.where("kind = 0").select("id", "th", "pos", "n").union(late.select("id", "th", "pos", "n"))
@@ -169,24 +172,29 @@ def apply_bitmap(text: str | None, bitmap: bytes | None) -> str | None:
     r"""The lines that a bitmap keeps, joined by ``\n``; the text itself without a bitmap."""
     if bitmap is None or text is None:
         return text
-    lines = text.split("\n")
-    keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little")[: len(lines)]
-    return "\n".join([x for x, k in zip(lines, keep) if k])
+    keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little").tobytes()
+    return "\n".join(itertools.compress(text.split("\n"), keep))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
-    """``docs`` with two more columns, ``_bitmap`` and ``_n_dropped`` (null where nothing goes)."""
+    """``docs`` with two more columns at its end, ``_bitmap`` and ``_n_dropped`` (null where nothing goes).
+
+    Where ``docs`` has columns of these names, the new ones bear another underscore: all columns of ``docs`` stay as they are.
+    """
+    kept, dropped, id_, th, own = free_names(docs.columns, "_bitmap", "_n_dropped", "_id", "_th", "_h")
     maps = line_keep_bitmaps(docs.select(id_col, text_col), id_col, text_col, **rule)
-    maps = maps.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("n_dropped").alias("_n_dropped"), F.col("bitmap").alias("_bitmap"))
-    left = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
-    return left.join(maps, (left[id_col].cast("long") == maps["_id"]) & (left["_h"] == maps["_th"]), "left").drop("_id", "_th", "_h")
+    maps = maps.select(F.col(id_col).alias(id_), F.col("text_hash").alias(th), F.col("bitmap").alias(kept), F.col("n_dropped").alias(dropped))
+    left = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    both = left.join(maps, (F.col(id_col).cast("long") == F.col(id_)) & (F.col(own) == F.col(th)), "left")
+    return both.select(*docs.columns, kept, dropped)
 
 
 def digests(deduped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document ``(id, n_lines, n_dropped, kept_sha256)`` of what :func:`dedup_lines` returned."""
-    kept = F.coalesce(kept_text(F.coalesce(text_col, F.lit("")), F.col("_bitmap")), F.lit(""))
+    bitmap, dropped = deduped.columns[-2:]
+    kept = F.coalesce(kept_text(F.coalesce(text_col, F.lit("")), F.col(bitmap)), F.lit(""))
     n = F.length(F.coalesce(text_col, F.lit(""))) - F.length(F.replace(F.coalesce(text_col, F.lit("")), F.lit("\n"))) + 1
-    return deduped.select(id_col, n.cast("long").alias("n_lines"), F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
+    return deduped.select(id_col, n.cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def _kept(text, bitmap):  # type: ignore[no-untyped-def]

@@ -1,8 +1,7 @@
-"""N-gram Jaccard self-join: MinHash banding, then exact verification on shingle sets.
+"""N-gram Jaccard self-join: a MinHash LSH forest finds candidates, shingle sets verify them.
 
-Bands of one fixed number of minima stand in for an LSH forest: no signature is sorted as a trie, and no prefix is
-shortened for a document. The number is the largest at which a pair at the threshold meets in some band with the target
-recall; equal band keys form a bucket.
+The forest (:mod:`larkspan.llm.minhash_forest`) keeps signatures as sorted tries and shortens matched prefixes until the recall
+is met; items that meet in a node are compared by their sets of shingle hashes.
 """
 
 from __future__ import annotations
@@ -16,18 +15,11 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.bucketjoin import bucket_join, live_buckets
 from larkspan.llm.components import connected_components
+from larkspan.llm.minhash_forest import buckets, forest, signatures
 from larkspan.llm.scratch import materialize, release
 from larkspan.llm.textkit import mix, shingles, slices
 
 
-def prefix_depth(threshold: float, trees: int, longest: int, recall: float) -> int:
-    """The most minima a band, ``longest`` at most, with which ``trees`` bands reach ``recall`` at ``threshold``: the same for all documents."""
-    for d in range(longest, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
-
-
 def _sets(col: pa.Array, n: int) -> list[np.ndarray]:
     sh, off = shingles(col, n)
     return [np.unique(sh[a:b]) for a, b in zip(off, off[1:])]
@@ -40,22 +32,7 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(mix(c[off[1:]] - c[off[:-1]]).view(np.int64) for c in cum)
 
 
-def prefix_keys(sets: list[np.ndarray], trees: int, depth: int, seed: int) -> np.ndarray:
-    """The key of each set in each band (odd: every item is at home). Sets are not empty."""
-    flat = np.concatenate(sets)
-    off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
-    mult = mix(np.arange(1, trees * depth + 1, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)
-    out = np.zeros((len(sets), trees), np.uint64)
-    for t in range(trees):
-        h = np.full(len(sets), t + 1, np.uint64)
-        for d in range(depth):
-            low = np.minimum.reduceat(flat * mult[t * depth + d], off)
-            h = mix(h ^ low)
-        out[:, t] = h | np.uint64(1)
-    return out.view(np.int64)
-
-
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, seed: int = 3) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 20, longest: int = 6, recall: float = 0.9999, room: int = 64, seed: int = 3) -> DataFrame:
     """One row per id: ``(id, n_links, class_id, kept)``.
 
     Two documents link when their sets of ``n``-word shingles have a Jaccard similarity of at least
@@ -63,9 +40,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``kept`` marks it. Words are runs of letters, digits and non-ASCII characters in lower case.
     Shorter texts are one shingle; texts without words (null, empty, blanks) link with nothing. Rows with a null id
     are left out; of rows that share an id, the one with the smallest shingle fingerprint counts.
-    Documents with equal sets stand as one item with a multiplicity. Other columns are ignored.
+    Candidates come from a forest of ``trees`` tries of ``longest`` levels, which finds a pair at ``threshold`` with a chance of
+    ``recall`` or more; longer prefixes are matched where nodes hold more than ``room`` documents. Documents with equal sets stand as
+    one item with a multiplicity. Other columns are ignored.
     """
-    depth = prefix_depth(threshold, trees, longest, recall)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,20 +53,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 f1, f2 = _fingerprints(sets)
                 size = np.array([len(s) for s in sets], np.int64)
                 has = np.flatnonzero(size)
-                keys: list = [None] * len(sets)
-                if len(has):
-                    for i, k in zip(has, prefix_keys([sets[i] for i in has], trees, depth, seed)):
-                        keys[i] = k
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(f1), pa.array(f2), pa.array(size), pa.array(keys, pa.list_(pa.int64()))], ["id", "f1", "f2", "size", "keys"])
-
-    sig = materialize(src.mapInArrow(signed, "id long, f1 long, f2 long, size long, keys array<long>"), "sig")
+                hi, lo = signatures([sets[i] for i in has], trees, longest, seed) if len(has) else (np.zeros((0, trees), np.int64),) * 2
+                width = np.zeros(len(sets) + 1, np.int32)
+                width[has + 1] = trees
+                offsets = pa.array(np.cumsum(width, dtype=np.int32))
+                keys = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (hi, lo)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(f1), pa.array(f2), pa.array(size), *keys], ["id", "f1", "f2", "size", "hi", "lo"])
+
+    sig = materialize(src.mapInArrow(signed, "id long, f1 long, f2 long, size long, hi array<long>, lo array<long>"), "sig")
     one = sig.groupBy("id").agg(F.min(F.struct("f1", "f2", "size")).alias("s")).select("id", "s.*")
     one = materialize(one, "docs")
     groups = materialize(one.where("size > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min("size").alias("size")), "groups")
     chosen = groups.select(F.col("rep").alias("id"), "f1", "f2", F.col("size").alias("weight"))
-    entries = sig.join(chosen, ["id", "f1", "f2"]).dropDuplicates(["id"]).select(F.explode("keys").alias("kr"), F.col("id").alias("rep"), "weight")
-    live = materialize(live_buckets(entries), "live")
-    release(sig)
+    entries = materialize(sig.join(chosen, ["id", "f1", "f2"]).dropDuplicates(["id"]).select(F.col("id").alias("rep"), "weight", F.explode(F.arrays_zip("hi", "lo")).alias("s")).select("s.hi", "s.lo", "rep", "weight"), "entries")
+    found = forest(entries, trees, longest, threshold, recall, room)
+    release(sig, entries)
+    live = materialize(live_buckets(buckets(found)), "live")
     wanted = live.select("rep").distinct().join(groups, "rep").select(F.col("rep").alias("id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "mult")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

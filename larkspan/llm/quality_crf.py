@@ -170,9 +170,9 @@ def fit_crf(x: np.ndarray, row: np.ndarray, good: np.ndarray, rounds: int = 150,
     return QualityCrf(mean, scale, w, pair)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 1) -> QualityCrf:
+def train_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 1) -> QualityCrf:
     """Fit on at most ``most`` labelled documents (the documented bound); null labels do not count."""
-    sample = labelled_rows(docs.select(id_col, text_col), labels.where(F.col(label_col).isNotNull()).select(id_col, label_col), id_col, most, seed)
+    sample = labelled_rows(docs.select(id_col, text_col), labels.where(F.col(label_col).isNotNull()).select(id_col, label_col), id_col, text_col, most, most_bytes, seed)
     rows = sample.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y")).toPandas().sort_values(["i", "t", "y"], kind="stable")
     if not len(rows):
         width = line_features(pa.array([""]))[0].shape[1]

@@ -1,13 +1,11 @@
 """Shared scratch tables: lineage is cut by writing Parquet where every executor can read it.
 
-The folder is ``spark.checkpoint.dir`` when the session names one. Only where it is unset (local
-tests) a temporary folder is made, which goes when the process ends.
+They lie in a folder of the application's own under ``spark.checkpoint.dir``, which the driver removes when it ends. Only where that
+setting is unset, and the master is local (tests), a temporary folder stands in for it.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -16,15 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
+    """This application's folder; the JVM deletes it on its way out."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="larkspan-")
-        atexit.register(shutil.rmtree, _own[app], True)
-    return f"file://{_own[app]}"
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = f"file://{tempfile.gettempdir()}"
+        _own[app] = f"{named.rstrip('/')}/larkspan-{app}-{uuid.uuid4().hex[:8]}"
+        fs, p = _hadoop(spark, _own[app])
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -41,13 +49,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a scratch table that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later plan reads; what a result still reads goes with the application's folder."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            fs, p = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

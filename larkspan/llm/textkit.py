@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +17,6 @@ WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     WORD[_a:_b] = True
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 5)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["p"]) < n:
-        for k, base in (("p", _P), ("q", _PINV)):
-            a = np.full(n, base, np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a, dtype=np.uint64)
-    return _powers["p"], _powers["q"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -78,29 +65,79 @@ def runs(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
+#: Spans of up to this many bytes are hashed together, longer ones one by one.
+SHORT = 32
+_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+_KEYS = mix(np.arange(1, SHORT // 8 + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def first_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from ``starts`` on, as little-endian numbers; bytes from ``ends`` on count as zero."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.lib.stride_tricks.as_strided(padded.view(), (len(data) + 1, 8), (1, 1))[starts]
+    block = np.ascontiguousarray(at).view("<u8").ravel()
+    size = np.minimum(ends - starts, 8)
+    mask = _ONES >> (np.minimum(8 - size, 7).astype(np.uint64) * np.uint64(8))
+    return np.where(size > 0, block & mask, np.uint64(0))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span."""
-    p, q = _power(len(data) + 1)
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=h[1:])
-    return mix((h[ends] - h[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each byte span: mixed blocks of eight bytes, chained and summed under keys; BLAKE2 for longer spans."""
+    size = ends - starts
+    chain = mix(size.astype(np.uint64) + _KEYS[0])
+    total = np.zeros(len(starts), np.uint64)
+    todo = np.arange(len(starts))
+    for k in range(SHORT // 8):
+        todo = todo[size[todo] > 8 * k] if k else todo
+        if not len(todo):
+            break
+        block = first_blocks(data, starts[todo] + 8 * k, ends[todo])
+        chain[todo] = mix(chain[todo] ^ block)
+        total[todo] += mix(block + _KEYS[k + 1])
+    out = mix(chain + total * _KEYS[0])
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def words(col: pa.Array, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(bytes, starts, ends, row)`` of the words of the lower-cased texts, in order, in pieces of about ``most`` bytes that are cut between words.
+
+    Words are runs of letters, digits and non-ASCII characters.
+    """
+    data, off = buffers(pc.utf8_lower(pc.fill_null(col, "")))
+    start = 0
+    while start < len(data):
+        end = min(start + most, len(data))
+        if end < len(data):
+            gap = np.flatnonzero(~WORD[data[start:end]])
+            if len(gap):
+                end = start + int(gap[-1]) + 1
+            else:  # a word that is longer than a piece
+                while end < len(data) and WORD[data[end]]:
+                    end += 1
+        piece = data[start:end]
+        yield piece, *runs(piece, np.clip(off, start, end) - start, WORD)
+        start = end
 
 
-_C = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+def word_hashes(col: pa.Array, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's words in order, and row offsets."""
+    hashes, count = [np.zeros(0, np.uint64)], np.zeros(len(col), np.int64)
+    for data, s, e, row in words(col, most):
+        hashes.append(span_hashes(data, s, e))
+        count += np.bincount(row, minlength=len(count))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(count)])
 
 
 def shingles(col: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Word ``n``-gram hashes (repeats included) and row offsets.
 
-    Words are runs of letters, digits and non-ASCII characters of the lower-cased text. A text of
-    1 to n-1 words has one shingle, all of it; a text without words has none.
+    A text of 1 to n-1 words has one shingle, all of it; a text without words has none.
     """
-    coef = mix(np.arange(1, n + 1, dtype=np.uint64) * _C[0])
-    data, off = buffers(pc.utf8_lower(pc.fill_null(col, "")))
-    s, e, row = runs(data, off, WORD)
-    w, rows = span_hashes(data, s, e), len(off) - 1
-    count = np.bincount(row, minlength=rows)
-    first = np.concatenate([[0], np.cumsum(count)])
+    coef = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    w, first = word_hashes(col)
+    count = np.diff(first)
     have = np.where(count == 0, 0, np.maximum(1, count - n + 1))
     out_off = np.concatenate([[0], np.cumsum(have)])
     at = np.arange(out_off[-1]) - np.repeat(out_off[:-1], have) + np.repeat(first[:-1], have)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from larkspan.llm import bucketjoin, embedding_neardup as E, ngram_join as N
+from larkspan.llm import bucketjoin, embedding_neardup as E, minhash_forest as M, ngram_join as N
 from larkspan.llm.components import connected_components
 from tests.llm.helpers import LONG, components, cosine_links, jaccard_links
 
@@ -102,12 +102,101 @@ def test_texts_odd_rows(spark):
     assert run10(spark, []) == {}
 
 
-def test_prefixes_shorten_until_the_recall_is_met():
+def test_the_shortest_prefix_meets_the_recall():
     for trees in (8, 16, 32):
-        d = N.prefix_depth(0.8, trees, 12, 0.999)
+        d = M.shortest_depth(0.8, trees, 12, 0.999)
         assert 1 - (1 - 0.8**d) ** trees >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** trees
 
 
+def node(hi, lo, depth):
+    return M._cut(np.array([hi]), np.array([lo]), depth)[0][0], M._cut(np.array([hi]), np.array([lo]), depth)[1][0], depth
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_matched_prefixes_match_brute_force(spark, partitions):
+    """Sizes of all nodes, counted one by one; nodes lie across partitions."""
+    rng = np.random.default_rng(partitions)
+    rows = []
+    for rep in range(400):
+        levels = rng.integers(0, 2, 6) if rep < 300 else rng.integers(0, 1 << 14, 6)
+        hi = lo = 0
+        for d, level in enumerate(levels):
+            if d < 4:
+                hi |= int(level) << 14 * (3 - d)
+            else:
+                lo |= int(level) << 14 * (7 - d)
+        rows.append((hi, lo, rep, 1))
+    sizes = {}
+    for hi, lo, *_ in rows:
+        for d in (4, 5, 6):
+            sizes[node(hi, lo, d)] = sizes.get(node(hi, lo, d), 0) + 1
+    want = {}
+    for hi, lo, rep, _ in rows:
+        if sizes[node(hi, lo, 4)] > 1:
+            want[rep] = next((d for d in (4, 5, 6) if sizes[node(hi, lo, d)] <= 5), 6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.rep: r.depth for r in M.matched_prefixes(spark.createDataFrame(rows, "hi long, lo long, rep long, weight long"), 4, 6, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_crowded_prefixes_stay_long_as_far_as_the_recall_allows(spark):
+    """Item 0 and 40 others share one tree's node: it stays long. Items 100 and up share nodes in all trees: these are shortened."""
+    rng, rows = np.random.default_rng(3), []
+
+    def put(rep, tree, crowd):
+        first = [7] * 5 if crowd else rng.integers(0, 1 << 14, 5).tolist()
+        hi, last = tree << 56, int(rng.integers(0, 1 << 14))
+        for d in range(4):
+            hi |= int(first[d]) << 14 * (3 - d)
+        rows.append((hi, int(first[4]) << 42 | last << 28, rep, 1))
+
+    for rep in range(40):
+        for tree in range(20):
+            put(rep, tree, tree == 0)
+            put(100 + rep, tree, tree > 4)
+    found = M.forest(spark.createDataFrame(rows, "hi long, lo long, rep long, weight long"), 20, 6, 0.8, 0.9999, room=10).collect()
+    depths = {}
+    for r in found:
+        depths.setdefault(r.rep, {})[r.hi >> 56] = r.depth
+    assert all(depths[rep] == {0: 6} for rep in range(40))
+    assert all(set(depths[rep].values()) == {4} and len(depths[rep]) == 15 for rep in range(100, 140))
+    gain = {d: -np.log1p(-(0.8**d)) for d in (4, 5, 6)}
+    for rep, ds in depths.items():
+        assert sum(gain[d] for d in ds.values()) + (20 - len(ds)) * gain[4] >= -np.log(1e-4)
+
+
+def test_crowds_of_texts_lose_no_link(spark):
+    """Pages of one template: most shingles are common, so nodes are crowded."""
+    rng, texts = np.random.default_rng(9), {}
+    frame = [f"t{i}" for i in range(60)]
+    for i in range(160):
+        own = [f"o{x}" for x in rng.integers(0, 10**6, int(rng.integers(4, 25)))]
+        texts[i] = " ".join(frame + own)
+        if i % 8 == 0:
+            texts[1000 + i] = edited(rng, frame + own, 1)
+    links = jaccard_links(texts)
+    assert run10(spark, list(texts.items()), room=3) == expected(list(texts), links)
+
+
+def thue_morse(k):
+    w = "a"
+    for _ in range(k):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+@pytest.mark.parametrize("k", [10, 11, 13])
+def test_words_that_defeat_polynomial_hashes(spark, k):
+    a = thue_morse(k)
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = run10(spark, [(1, a), (2, b), (3, a)])
+    assert got == {1: (1, 1, True), 2: (0, 2, True), 3: (1, 1, False)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 100)]

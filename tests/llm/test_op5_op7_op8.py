@@ -9,21 +9,26 @@ import pyarrow as pa
 import pytest
 
 from larkspan.llm import quality_crf as Q, queries, toxicity as T, url_filter as U
+from larkspan.llm.sampling import labelled_rows
 from tests.llm.helpers import LONG
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not there")
 
 
+#: Words of two kinds of toxic toy texts.
+KINDS = (("rude", "nasty", "vile"), ("hateful", "menace", "threat"))
+
+
 def toy(seed, n=400):
     rng, texts, y = np.random.default_rng(seed), [], []
     for i in range(n):
         w = [f"w{x}" for x in rng.integers(0, 300, 40)]
         kind = i % 4
         if kind == 0:
-            w[3] = rng.choice(T.INSULTS)
+            w[3] = rng.choice(KINDS[0])
         if kind == 1:
-            w[5] = rng.choice(T.CONTEMPT).upper() + "!"
+            w[5] = rng.choice(KINDS[1]).upper() + "!"
         texts.append(" ".join(w))
         y.append((kind == 0, kind == 1, kind < 2))
     return texts, np.array(y, int)
@@ -39,10 +44,54 @@ def test_chain_learns_and_feeds_on():
     assert np.allclose(m.probabilities(m.matrix(pa.array(["", None, LONG, texts[0]])))[-1], m.probabilities(m.matrix(pa.array([texts[0]])))[0])
 
 
-def test_features_are_counts_of_words_and_beginnings():
-    h, rows, words, n = T.word_features(pa.array(["Stupid, stupid stupendous", None, "a"]))
-    assert n == 3 and words.tolist() == [3, 0, 1]
-    assert h[0][0] == h[0][1] != h[0][2] and len(h[1]) == 3 and len(set(h[1].tolist())) == 1 and rows[1].tolist() == [0, 0, 0]
+def test_features_are_words_and_beginnings():
+    got = {k: (h.tolist(), r.tolist()) for k, h, r in T.word_features(pa.array(["Stupid, stupid stupendous", None, "a"]))}
+    h, rows = got[0]
+    assert rows == [0, 0, 0, 2] and h[0] == h[1] != h[2]
+    assert got[4][1] == [0, 0, 0] and len(set(got[4][0])) == 1 and got[7][1] == [0]
+
+
+def plain_logistic(x, y, ridge):
+    """Gradient ascent to the same optimum."""
+    w, pen = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    pen[-1] = 1e-3
+    for _ in range(40000):
+        w += 0.002 * (x.T @ (y - 1 / (1 + np.exp(-x @ w))) - pen * w)
+    return w
+
+
+def test_out_of_fold_feeding_matches_brute_force():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.standard_normal((90, 2)), np.ones(90)])
+    y = (x[:, 0] + rng.standard_normal(90) > 0).astype(float)
+    want = np.zeros(90)
+    for f in range(3):
+        inside = [i for i in range(90) if i % 3 != f]
+        w = plain_logistic(x[inside], y[inside], 0.5)
+        for i in range(f, 90, 3):
+            want[i] = 1 / (1 + np.exp(-x[i] @ w))
+    got = T.out_of_fold(x, y, 3, 0.5)
+    assert np.abs(got - want).max() < 1e-2
+    # a row's own label does not reach its own probability
+    y[0] = 1 - y[0]
+    assert np.isclose(T.out_of_fold(x, y, 3, 0.5)[0], got[0]) and not np.isclose(T.out_of_fold(x, y, 3, 0.5)[1], got[1])
+
+
+def test_later_models_learn_from_out_of_fold_probabilities():
+    texts, y = toy(7, 120)
+    m = T.fit_chain(texts, y, ["a", "b", "c"], features=20, folds=4, ridge=0.3)
+    x = m.matrix(pa.array(texts))
+    fed = [T.out_of_fold(x, y[:, 0].astype(float), 4, 0.3)]
+    assert np.allclose(m.weights[1], T.fit_logistic(np.column_stack([*fed, x]), y[:, 1].astype(float), 0.3))
+    fed.append(T.out_of_fold(np.column_stack([*fed, x]), y[:, 1].astype(float), 4, 0.3))
+    assert np.allclose(m.weights[2], T.fit_logistic(np.column_stack([*fed, x]), y[:, 2].astype(float), 0.3))
+
+
+def test_kinds_are_found_in_the_sample():
+    texts, y = toy(5, 800)
+    got = T.split_kinds(texts, y[:, 2].astype(bool), 2)
+    assert (got[:, 2] == y[:, 2]).all() and (got[:, :2].sum(1) == y[:, 2]).all() and got[:, :2].any(0).all()
+    assert T.split_kinds([], np.zeros(0, bool), 2).shape == (0, 3) and not T.split_kinds(["x"], np.zeros(1, bool), 2).any()
 
 
 def test_chain_without_examples():
@@ -55,7 +104,7 @@ def test_chain_without_examples():
 def test_toxicity_rows(spark):
     texts, y = toy(3)
     m = T.fit_chain(texts, y, ["insult", "contempt", "toxic"])
-    df = spark.createDataFrame([(1, "you idiot w1 w2", 0.1), (None, "w1 w2 w3", 0.2), (3, None, 0.3), (3, "", 0.4), (4, LONG, 0.5)], "doc_id long, text string, score double")
+    df = spark.createDataFrame([(1, "you rude w1 w2", 0.1), (None, "w1 w2 w3", 0.2), (3, None, 0.3), (3, "", 0.4), (4, LONG, 0.5)], "doc_id long, text string, score double")
     got = T.score_toxicity(df, m).collect()
     assert [(r.doc_id, r.toxic) for r in got] == [(1, True), (None, False), (3, False), (3, False), (4, False)] and got[0].p_insult > 0.5
     assert T.score_toxicity(df.where("doc_id > 9"), m).count() == 0
@@ -73,6 +122,23 @@ def test_toxicity_of_the_tables(spark):
     assert sum(r.found for r in got if not r.toxic) <= 0.01 * len(got)
 
 
+def test_training_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, "x" * (i % 7 * 100)) for i in range(200)] + [(7, "y" * 2000), (8, None), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3) for i in range(60)] + [(3, 9, 0), (None, 1, 1), (1000, 1, 1)], "doc_id long, toxic int, doc int")
+    got = labelled_rows(docs, labels, "doc_id", "text", 20, 1 << 14).collect()
+    assert 0 < len(got) <= 20 and sum(len(r.text or "") for r in got) <= 1 << 14 and all(r.toxic == r.doc_id % 2 and len(r.text or "") <= 1 << 10 for r in got)
+    assert got and sorted(map(str, got)) == sorted(map(str, labelled_rows(docs.repartition(7), labels, "doc_id", "text", 20, 1 << 14).collect()))
+    assert len(labelled_rows(docs, labels, "doc_id", "text", 1000, 1 << 30).collect()) == docs.where("doc_id is not null").distinct().count()
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_one_class_only(spark, toxic):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", f"{toxic} as toxic").union(docs.selectExpr("doc_id", f"{toxic} as toxic")).union(docs.selectExpr("cast(null as long)", "1 - 1").limit(1))
+    got = T.score_toxicity(docs, T.train_toxicity(docs, labels)).collect()
+    assert len(got) == 20 and all(r.toxic == bool(toxic) for r in got)
+
+
 def brute_crf(score, pair):
     """Marginals by enumerating all labellings."""
     n, z, good = len(score), 0.0, np.zeros(len(score))

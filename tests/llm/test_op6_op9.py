@@ -81,6 +81,27 @@ def test_lines_match_brute_force(spark, partitions):
     assert got == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("k", [10, 11, 13])
+def test_lines_that_defeat_polynomial_hashes(spark, k):
+    a = "a"
+    for _ in range(k):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, a)]
+    got = {r.doc_id: r.n_dropped for r in L.digests(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: 0, 2: 0, 3: 0}
+
+
+def test_helper_names_are_free(spark):
+    line = "a line that occurs in three documents"
+    own = ["_bitmap", "_n_dropped", "_id", "_th", "_h", "h1", "bitmap", "n_dropped", "text_hash", "_bitmap_"]
+    df = spark.createDataFrame([(i, f"{line}\n{i}", *[f"{c}{i}" for c in own]) for i in range(4)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in own))
+    out = L.dedup_lines(df)
+    assert out.columns[:-2] == df.columns and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert sorted(out.select(*df.columns).collect()) == sorted(df.collect())
+    assert {r.doc_id: r.n_dropped for r in L.digests(out).collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
+
+
 def test_bitmaps(spark):
     text = "a line that occurs in three documents\nmine"
     df = spark.createDataFrame([(i, text) for i in range(3)] + [(7, "alone")], "doc_id long, text string")
