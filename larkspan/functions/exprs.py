@@ -118,7 +118,7 @@ class Compiler:
     def _compare(self, a: Typed, b: Typed, op: Callable[[Column, Column], Column]) -> Column:
         """NULL where a side is NULL or the types differ; nothing is coerced."""
         s, t = a.value_type, b.value_type
-        if "null" in (s, t) or s != t and not (s in NUMERIC and t in NUMERIC):
+        if not _comparable(s, t):
             return F.lit(None).cast("boolean")
         return op(a.value(), b.value())
 
@@ -142,7 +142,7 @@ class Compiler:
         """Equal by value to an item: true; else NULL if an item is NULL; else false, for a NULL operand too."""
         x = self.typed(a)
         hit, null = F.lit(False), F.lit(False)
-        plain = [i.value for i in items if isinstance(i, A.Lit) and i.value is not None and _lit_type(i) == x.value_type]
+        plain = [i.value for i in items if isinstance(i, A.Lit) and i.value is not None and _comparable(_lit_type(i), x.value_type)]
         if plain:
             hit = F.coalesce(x.value().isin(plain), F.lit(False))  # one IN that the scan can use
         for i in items:
@@ -221,6 +221,10 @@ class Compiler:
         return Typed(_div(total, F.count_distinct(col) if e.distinct else F.count(col)), "bigint")
 
 
+def _comparable(s: str, t: str) -> bool:
+    return "null" not in (s, t) and (s == t or s in NUMERIC and t in NUMERIC)
+
+
 def _lit_type(e: A.Lit) -> str:
     return "string" if isinstance(e.value, str) else "bigint"
 

@@ -96,6 +96,14 @@ for _key, _cond in {
     "filter_like_column": "p_name LIKE p_name",
 }.items():
     _sql(_key, _PART + _cond, _PART + _cond)
+_LINE = "SELECT l_orderkey, l_linenumber FROM lineitem WHERE "
+for _key, _cond, _want in (
+    ("filter_in_double", "l_quantity IN (1, 2, 50)", "l_quantity IN (1, 2, 50)"),
+    ("filter_not_in_double", "l_quantity NOT IN (1, 2, 50)", "l_quantity NOT IN (1, 2, 50)"),
+    ("filter_in_double_mixed", "l_quantity IN (3, l_linenumber, 'x')", "l_quantity = 3 OR l_quantity = l_linenumber"),
+    ("filter_in_int_column_of_doubles", "l_linenumber IN (l_quantity, 7)", "l_linenumber = 7 OR l_linenumber = l_quantity"),
+):
+    _sql(_key, _LINE + _cond, _LINE + _want)
 _sql("filter_int_truthy", _PART + "p_size % 2", _PART + "p_size % 2 <> 0")
 _sql("filter_mixed_types", _PART + "p_brand = 1 OR p_size = '5' OR p_size = 5", _PART + "p_size = 5")
 _sql("arith_div_mod", "SELECT o_orderkey, o_orderkey / 7 AS q, o_orderkey % 7 AS r, (0 - o_orderkey) / 7 AS nq, -o_orderkey % 7 AS nr FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS q, o_orderkey % 7 AS r, (0 - o_orderkey) // 7 AS nq, (-o_orderkey) % 7 AS nr FROM orders")

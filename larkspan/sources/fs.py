@@ -1,4 +1,4 @@
-"""Small files of a database folder: in a local or shared folder, or in any store that Spark's Hadoop client reaches.
+"""Small files of a database folder: in a local or shared folder, or in a store of Spark's Hadoop client that renames in one step.
 
 ``create`` is the commit point: it makes a file with all its content, or fails because the name is taken. A folder with hard
 links does that by linking, a Hadoop store by a rename that does not overwrite (HDFS and stores with its semantics).
@@ -13,6 +13,10 @@ from typing import Protocol
 from pyspark.sql import SparkSession
 
 
+#: Schemes whose rename fails where the target exists, in one step.
+ATOMIC = ("file", "hdfs", "viewfs", "abfs", "abfss")
+
+
 class Files(Protocol):
     def url(self, rel: str) -> str: ...
     def exists(self, rel: str) -> bool: ...
@@ -76,8 +80,12 @@ class LocalFiles:
 
 class HadoopFiles:
     def __init__(self, spark: SparkSession, root: str):
-        self.root, self._jvm = root.rstrip("/"), spark._jvm
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        scheme = root.partition(":")[0].lower()
+        if scheme not in ATOMIC:
+            raise ValueError(f"{scheme}: a rename there may overwrite, so that two commits could take one version; use one of {', '.join(ATOMIC)}")
+        self.root, self._jvm, self._gateway = root.rstrip("/"), spark._jvm, spark.sparkContext._gateway
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(self._conf)
 
     def _path(self, rel: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rel}" if rel else self.root)
@@ -115,9 +123,12 @@ class HadoopFiles:
         return False
 
     def replace(self, rel: str, data: bytes) -> None:
+        """The old file or the new one is there at any time: the rename overwrites."""
+        fs = self._jvm.org.apache.hadoop.fs
         temp = self._temp(rel, data)
-        self._fs.delete(self._path(rel), False)
-        self._fs.rename(self._path(temp), self._path(rel))
+        options = self._gateway.new_array(fs.Options.Rename, 1)
+        options[0] = fs.Options.Rename.OVERWRITE
+        fs.FileContext.getFileContext(self._path("").toUri(), self._conf).rename(self._path(temp), self._path(rel), options)
 
     def move(self, rel: str, to: str) -> None:
         self._fs.rename(self._path(rel), self._path(to))

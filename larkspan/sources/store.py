@@ -38,15 +38,22 @@ class Store:
         kinds = {"bigint": T.LongType(), "string": T.StringType()}
         return T.StructType([T.StructField(RID, T.LongType()), *[T.StructField(physical(c[3]), kinds[c[1]]) for c in t.columns]])
 
-    def frame(self, t: Table, staged: Sequence[tuple] = ()) -> DataFrame:
-        """The rows of the files that ``t`` names, and ``staged`` rows (rid first), under column names. Columns added later are null in old files."""
+    def frame(self, t: Table, staged: Sequence[tuple] = (), file: str = "") -> DataFrame:
+        """The rows of the files that ``t`` names, and ``staged`` rows (rid first), under column names. Columns added later are null in old files.
+
+        ``file`` names a further column: the last part of the path of a row's file. Pages are checked against their checksums.
+        """
         schema = self.schema(t)
+        names = [F.col(RID), *[F.col(physical(c[3])).alias(c[0]) for c in t.columns]]
         paths = [self.log.files.url(f["path"]) for f in t.files]
-        df = self.spark.read.schema(schema).parquet(*paths) if paths else None
+        df = None
+        if paths:
+            df = self.spark.read.schema(schema).option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
+            df = df.select(*names, *([F.col("_metadata.file_name").alias(file)] if file else []))
         if staged or df is None:
-            own = self.spark.createDataFrame(list(staged), schema)
+            own = self.spark.createDataFrame(list(staged), schema).select(*names, *([F.lit("").alias(file)] if file else []))
             df = own if df is None else df.unionByName(own)
-        return df.select(RID, *[F.col(physical(c[3])).alias(c[0]) for c in t.columns])
+        return df
 
     # writing
 
@@ -69,24 +76,25 @@ class Store:
         schema = pa.schema([(RID, pa.int64()), *[(physical(c[3]), _ARROW[c[1]]) for c in t.columns]])
         table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         rel, sink = f"data/{name}/part-{uuid.uuid4().hex}.parquet", pa.BufferOutputStream()
-        pq.write_table(table, sink)
+        pq.write_table(table, sink, write_page_checksum=True)
         self.log.files.create(rel, sink.getvalue().to_pybytes())
         return {"path": rel, "rows": len(rows)}
 
-    def write_frame(self, name: str, t: Table, df: DataFrame, bloom: Sequence[str] = (), sort: str | None = None) -> list[dict]:
-        """Files of a DataFrame with RID and the table's columns, written by the executors."""
+    def write_frame(self, name: str, t: Table, df: DataFrame, bloom: Sequence[str] = (), sort: str | None = None) -> tuple[list[dict], int]:
+        """Files of a DataFrame with RID and the table's columns, written by the executors, and the largest row id in them (-1 without rows)."""
         rel = f"data/{name}/set-{uuid.uuid4().hex}"
         out = df.select(RID, *[F.col(c[0]).alias(physical(c[3])) for c in t.columns])
         ids = {c[0]: physical(c[3]) for c in t.columns}
         if sort:
             out = out.repartitionByRange(ids[sort]).sortWithinPartitions(ids[sort])
-        w = out.write
+        w = out.write.option("parquet.page.write-checksum.enabled", "true")
         for c in bloom:
             w = w.option(f"parquet.bloom.filter.enabled#{ids[c]}", "true")
         w.parquet(self.log.files.url(rel))
-        # row counts come from the files' footers
-        count = self.spark.read.schema(self.schema(t)).parquet(self.log.files.url(rel)).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
-        return [{"path": f"{rel}/{r['f']}", "rows": r["count"]} for r in sorted(count, key=lambda r: r["f"])]
+        # row counts and largest ids come from the files' footers
+        written = self.spark.read.schema(self.schema(t)).parquet(self.log.files.url(rel)).groupBy(F.col("_metadata.file_name").alias("f"))
+        got = sorted(written.agg(F.count("*").alias("n"), F.max(RID).alias("top")).collect(), key=lambda r: r["f"])
+        return [{"path": f"{rel}/{r['f']}", "rows": r["n"]} for r in got], max([r["top"] for r in got], default=-1)
 
     def commit(self, base: State, make: Callable[[State], list[dict]]) -> State:
         """Commit what ``make`` derives from the latest state; on a lost race derive it again. ``make`` raises where that state forbids it."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from larkspan.errors import BindError, ExecError
 from larkspan.plans.planner import RID, Relation
 from larkspan.sources.fs import files_of
-from larkspan.sources.log import CommitLog, State, Table
+from larkspan.sources.log import CommitLog, FileList, State, Table
 from larkspan.sources.store import Store, physical
 
 
@@ -33,6 +33,10 @@ class Replica:
         got = [x for x in self.files.names("_state") if x.endswith(".json") and (batch is None or int(x[:-5]) < batch)]
         return json.loads(self.files.read(f"_state/{got[-1]}")) if got else {"version": 0, "tables": {}}
 
+    def fresh(self) -> bool:
+        """Whether the replica holds all that is committed."""
+        return self.freshness() == 0
+
     def freshness(self) -> int:
         """Commits that the replica lacks."""
         return self.log.state().version - self.state()["version"]
@@ -83,6 +87,9 @@ class Replica:
                         add[op["to"]] = list(add.get(name, []))
                     case "set_files":
                         state["tables"][name]["segments"], add[name] = [], list(op["files"])
+                    case "replace_files":
+                        # rows of earlier segments changed: the table is taken anew as of this version
+                        state["tables"][name]["segments"], add[name] = [], list(self.log.state_at(v).tables[name].files)
                     case "add_files":
                         add.setdefault(name, []).extend(op["files"])
         for name, files in add.items():
@@ -90,7 +97,7 @@ class Replica:
             if not files or t is None or t.born != state["tables"][name]["born"]:
                 continue  # dropped since: a later batch takes it away
             rel = f"segments/{name}-{batch:09d}"
-            rows = Table(t.columns, files)
+            rows = Table(t.columns, FileList(files))
             out = self._store.frame(rows)
             out.select(RID, *[F.col(f"`{c[0]}`").alias(physical(c[3])) for c in t.columns]).write.mode("overwrite").parquet(self.files.url(rel))
             state["tables"][name]["segments"].append({"path": rel, "rows": rows.rows})

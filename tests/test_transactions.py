@@ -61,13 +61,13 @@ def test_misuse(db):
         s.execute_read("INSERT INTO t VALUES (1)")
 
 
-def test_inserts_do_not_conflict_rewrites_do(db):
+def test_inserts_do_not_conflict_rewrites_of_a_file_do(db):
     fill(db, "t", "id INTEGER, v TEXT", [(1, "a"), (2, "b")])
     a, b, c = (db.session() for _ in range(3))
     for s in (a, b, c):
         s.execute("BEGIN")
     a.execute("INSERT INTO t VALUES (3, 'a3')")
-    b.execute("INSERT INTO t VALUES (4, 'b4')")
+    b.execute("UPDATE t SET v = 'b2' WHERE id = 2")
     c.execute("UPDATE t SET v = 'c' WHERE id = 1")
     assert c.execute("SELECT v FROM t WHERE id = 1").rows == [("c",)]
     c.execute("INSERT INTO t VALUES (5, 'c5')")
@@ -76,14 +76,112 @@ def test_inserts_do_not_conflict_rewrites_do(db):
     b.execute("COMMIT")
     with pytest.raises(TxnError):
         c.execute("COMMIT")
-    assert rows(db, "SELECT id, v FROM t") == [(1, "a"), (2, "b"), (3, "a3"), (4, "b4")]
+    assert rows(db, "SELECT id, v FROM t ORDER BY id") == [(1, "a"), (2, "b2"), (3, "a3")]
     db.execute("DELETE FROM t WHERE id = 2")
     d = db.session()
     d.execute("BEGIN")
     d.execute("DELETE FROM t WHERE id = 1")
     d.execute("INSERT INTO t VALUES (6, 'd6')")
+    db.execute("INSERT INTO t VALUES (7, 'x')")  # takes the row id that d counted on
+    d.execute("UPDATE t SET v = 'd' WHERE id > 5")
+    d.execute("INSERT INTO t VALUES (8, 'd8')")
+    d.execute("DELETE FROM t WHERE id = 8")
     d.execute("COMMIT")
-    assert rows(db, "SELECT id FROM t") == [(3,), (4,), (6,)]
+    assert sorted(rows(db, "SELECT id, v FROM t")) == [(3, "a3"), (6, "d"), (7, "x")]
+    rids = [r[0] for r in db.store.frame(db.log.state().tables["t"]).select("_rid").collect()]
+    assert len(set(rids)) == 3
+
+
+def test_only_touched_files_are_written_anew(db):
+    """Ten files; a row of one goes and a row of another changes. Changes of rows in different files do not conflict."""
+    db.execute("CREATE TABLE t (id INTEGER NOT NULL, v TEXT)")
+    for i in range(10):
+        db.execute(f"INSERT INTO t VALUES ({2 * i}, 'x'), ({2 * i + 1}, 'y')")
+    before = {f["path"] for f in db.log.state().tables["t"].files}
+    a, b = db.session(), db.session()
+    a.execute("BEGIN")
+    b.execute("BEGIN")
+    assert a.execute("DELETE FROM t WHERE id = 4").rows_affected == 1
+    assert b.execute("UPDATE t SET v = 'z' WHERE id = 9").rows_affected == 1
+    a.execute("COMMIT")
+    b.execute("COMMIT")
+    after = {f["path"] for f in db.log.state().tables["t"].files}
+    assert len(before - after) == 2 and len(after - before) == 2
+    assert sorted(rows(db, "SELECT id, v FROM t")) == [(i, "z" if i == 9 else "xy"[i % 2]) for i in range(20) if i != 4]
+    assert [r[0] for r in db.scan_rows("t")] == [i for i in range(20) if i != 4]
+    assert db.execute("DELETE FROM t WHERE id > 100").rows_affected == 0
+    with pytest.raises(ExecError, match="NULL"):
+        db.execute("UPDATE t SET id = NULL WHERE id = 3")
+    last = db.log.replay()[-1][1][0]
+    assert last["op"] == "replace_files" and len(last["remove"]) == len(last["files"]) == 1
+
+
+def test_a_load_that_races_with_an_insert(db, spark, monkeypatch):
+    db.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+    write, calls = db.store.write_frame, []
+
+    def slow(*args, **kw):
+        got = write(*args, **kw)
+        if not calls:
+            calls.append(1)
+            db.session().execute("INSERT INTO t VALUES (100, 'first'), (101, 'first')")
+        return got
+
+    monkeypatch.setattr(db.store, "write_frame", slow)
+    assert db.load("t", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string").repartition(2)) == 3
+    db.execute("INSERT INTO t VALUES (200, 'last')")
+    got = [(r["_rid"], r["id"]) for r in db.store.frame(db.log.state().tables["t"]).collect()]
+    assert len({r for r, _ in got}) == 6
+    order = [i for _, i in sorted(got)]
+    assert order[:2] == [100, 101] and sorted(order[2:5]) == [1, 2, 3] and order[5] == 200
+
+
+def test_the_log_state_shares_its_lists():
+    s = State().apply(1, [{"op": "create_table", "table": "t", "columns": [["a", "bigint", True]]}])
+    add = lambda v: [{"op": "add_files", "table": "t", "files": [{"path": f"f{v}", "rows": v}], "next_rid": v}]
+    one = s.apply(2, add(2))
+    two, other = one.apply(3, add(3)), one.apply(3, add(9))
+    paths = lambda s: [f["path"] for f in s.tables["t"].files]
+    assert paths(one) == ["f2"] and paths(two) == ["f2", "f3"] and paths(other) == ["f2", "f9"] and two.tables["t"].rows == 5
+    assert two.tables["t"].files._all is one.tables["t"].files._all
+    gone = two.apply(4, [{"op": "replace_files", "table": "t", "remove": ["f2"], "files": [{"path": "g", "rows": 1}], "next_rid": 0}])
+    assert paths(gone) == ["f3", "g"] and paths(two) == ["f2", "f3"] and gone.tables["t"].rows == 4
+
+
+def test_damaged_pages_are_found(db, spark):
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    db.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+    db.load("t", spark.createDataFrame([(i, f"value {i}") for i in range(2000)], "id long, v string").coalesce(1))
+    [f] = list(db.log.state().tables["t"].files)
+    path = os.path.join(db.log.files.root, f["path"])
+    raw = bytearray(open(path, "rb").read())
+    raw[len(raw) // 3] ^= 0xFF
+    with open(path, "wb") as out:
+        out.write(raw)
+    crc = os.path.join(os.path.dirname(path), "." + os.path.basename(path) + ".crc")
+    if os.path.exists(crc):
+        os.unlink(crc)
+    with pytest.raises((PySparkException, Py4JError), match="checksum"):
+        db.query("SELECT * FROM t").collect()
+
+
+def test_a_replica_follows_rewrites(spark, tmp_path):
+    db = Database.create(spark, str(tmp_path / "d"), replica_dir=str(tmp_path / "r"))
+    fill(db, "t", "id INTEGER, v TEXT", [(1, "a"), (2, "b")])
+    db.execute("INSERT INTO t VALUES (3, 'c')")
+    db.flush_to_columnar()
+    db.execute("UPDATE t SET v = 'z' WHERE id = 3")
+    db.execute("INSERT INTO t VALUES (4, 'd')")
+    db.execute("DELETE FROM t WHERE id = 1")
+    db.flush_to_columnar()
+    assert sorted(map(tuple, db.query("SELECT id, v FROM t", source="replica").collect())) == [(2, "b"), (3, "z"), (4, "d")]
+
+
+def test_stores_that_rename_over_files_are_refused(spark):
+    with pytest.raises(ValueError, match="s3a"):
+        HadoopFiles(spark, "s3a://bucket/db")
 
 
 def test_dropped_table_conflicts(db):
