@@ -1,16 +1,15 @@
-"""``python -m larkspan [FOLDER]``: one statement per line, ``\\q`` or ``exit`` to leave. Without a folder a temporary database is used."""
+"""``python -m larkspan [FOLDER]``: one statement per line, ``\\q`` or ``exit`` to leave. Without a folder the database goes when the prompt ends."""
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
 from typing import TextIO
 
 from pyspark.sql import SparkSession
 
 from larkspan.results import to_text
 from larkspan.session import Database
+from larkspan.sources.fs import files_of, new_folder
 
 
 def repl(db: Database, lines: TextIO, out: TextIO) -> None:
@@ -31,8 +30,8 @@ def repl(db: Database, lines: TextIO, out: TextIO) -> None:
 
 def main(args: list[str]) -> None:
     spark = SparkSession.builder.appName("larkspan").getOrCreate()
-    folder = args[0] if args else tempfile.mkdtemp(prefix="larkspan-db-")
-    db = Database.open(spark, folder) if os.path.exists(os.path.join(folder, "_meta.json")) else Database.create(spark, folder)
+    folder = args[0] if args else new_folder(spark)
+    db = (Database.open if files_of(spark, folder).exists("_meta.json") else Database.create)(spark, folder)
     repl(db, sys.stdin, sys.stdout)
 
 

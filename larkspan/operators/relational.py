@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
@@ -14,6 +15,20 @@ def vec_scan(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType |
     return spark.createDataFrame(list(rows), schema)
 
 
+def row_scan(spark: SparkSession, rows: Callable[[int], Iterable[tuple]], partitions: int, schema: str, batch: int = 2048) -> DataFrame:
+    """Rows of a function that each task calls with its partition's number; they leave it in batches, so a source may be of any size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in b["id"]:
+                source = iter(rows(int(part)))
+                while got := list(itertools.islice(source, batch)):
+                    yield pd.DataFrame(got, columns=names)
+
+    names = T.StructType.fromDDL(schema).names
+    return spark.range(0, partitions, 1, partitions).mapInPandas(run, schema)
+
+
 def project(df: DataFrame, columns: Sequence[int | str | Column]) -> DataFrame:
     """Reorder, prune or compute columns; numbers are positions."""
     return df.select(*[df.columns[c] if isinstance(c, int) else c for c in columns])

@@ -13,7 +13,7 @@ RESERVED = frozenset(
     "JOIN INNER LEFT RIGHT FULL CROSS ON AS DISTINCT UNION INTERSECT EXCEPT CASE WHEN THEN ELSE END".split()
 )
 MAX_INT = (1 << 63) - 1
-_TOKEN = re.compile(r"""(?P<ws>[ \t\r\n\f\v]+|--[^\n]*)|(?P<int>[0-9]+)|(?P<word>[A-Za-z_][A-Za-z0-9_]*)|(?P<text>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")+")|(?P<op><=|>=|!=|<>|[=<>+\-*/%(),;.])""")
+_TOKEN = re.compile(r"""(?P<ws>[ \t\r\n\f\v]+|--[^\n]*)|(?P<int>[0-9]+)|(?P<word>[A-Za-z_][A-Za-z0-9_]*)|(?P<text>'(?:[^']|'')*')|(?P<dollar>\$(?P<tag>[A-Za-z_][A-Za-z0-9_]*|)\$.*?\$(?P=tag)\$)|(?P<quoted>"(?:[^"]|"")+")|(?P<op><=|>=|!=|<>|[=<>+\-*/%(),;.])""", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,9 @@ def tokenize(sql: str) -> list[Token]:
             out.append(Token("int", int(raw), i))
         elif kind == "text":
             out.append(Token("text", raw[1:-1].replace("''", "'"), i))
+        elif kind == "dollar":
+            mark = len(m["tag"]) + 2
+            out.append(Token("text", raw[mark:-mark], i))
         elif kind == "quoted":
             out.append(Token("name", raw[1:-1].replace('""', '"'), i))
         elif kind != "ws":

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from larkspan.results import batches
 from larkspan.session import Database
 from larkspan.sources.admin import Admin
 from larkspan.sources.files import ParquetTables
+from larkspan.sources.fs import files_of, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,19 +51,9 @@ def _query(oracle: str) -> Callable[[Query], Query]:
     return register
 
 
-_folders: list[str] = []
-
-
 def database(spark: SparkSession, **options) -> Database:
-    """A new database: in the cluster's shared folder if it names one, else in a temporary one that goes with the process."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if shared:
-        base = f"{shared.rstrip('/')}/db-{uuid.uuid4().hex}"
-    else:
-        base = tempfile.mkdtemp(prefix="larkspan-db-")
-        if not _folders:
-            atexit.register(lambda: [shutil.rmtree(x, True) for x in _folders])
-        _folders.append(base)
+    """A new database in a folder that goes with the application."""
+    base = new_folder(spark)
     if options.pop("replica", False):
         options["replica_dir"] = f"{base}/replica"
     return Database.create(spark, f"{base}/db", **options)
@@ -211,12 +203,23 @@ for _key, _text, _want in (
 
 
 def _streamed(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Load a table, take a query's result in batches, and make a relation of them again."""
-    from larkspan.results import batches
-
+    """Take a query's result in batches, write them to files as they come, and read these: no more than a few batches are held."""
     planned = tables(spark, sf_dir).plan(text)
-    rows = [r for b in batches(planned.df) for r in b.rows()]
-    return spark.createDataFrame(rows, planned.df.schema)
+    schema = to_arrow_schema(planned.df.schema)
+    files, held = files_of(spark, new_folder(spark)), []
+
+    def write() -> None:
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_arrays([pa.array([v for b in held for v in b.data[i]], f.type) for i, f in enumerate(schema)], schema=schema), sink)
+        files.create(f"part-{uuid.uuid4().hex}.parquet", sink.getvalue().to_pybytes())
+        held.clear()
+
+    for b in batches(planned.df):
+        held.append(b)
+        if len(held) == 64:
+            write()
+    write()
+    return spark.read.schema(planned.df.schema).parquet(files.url("").rstrip("/"))
 
 
 for _key, _text, _want in (

@@ -103,6 +103,10 @@ class QueryResult:
         self.done = got is None
         return got
 
+    def page(self, number: int, size: int = 100) -> list[tuple]:
+        """One page of the rows, from 0; the others stay where they are."""
+        return [tuple(r) for r in self.df.offset(number * size).limit(size).collect()]
+
     def is_exhausted(self) -> bool:
         return self.done
 

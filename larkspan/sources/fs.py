@@ -7,6 +7,8 @@ links does that by linking, a Hadoop store by a rename that does not overwrite (
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 import uuid
 from typing import Protocol
 
@@ -26,6 +28,7 @@ class Files(Protocol):
     def replace(self, rel: str, data: bytes) -> None: ...
     def move(self, rel: str, to: str) -> None: ...
     def delete(self, rel: str) -> None: ...
+    def delete_tree(self, rel: str) -> None: ...
 
 
 class LocalFiles:
@@ -77,6 +80,9 @@ class LocalFiles:
     def delete(self, rel: str) -> None:
         os.unlink(self._path(rel))
 
+    def delete_tree(self, rel: str) -> None:
+        shutil.rmtree(self._path(rel))
+
 
 class HadoopFiles:
     def __init__(self, spark: SparkSession, root: str):
@@ -136,6 +142,22 @@ class HadoopFiles:
     def delete(self, rel: str) -> None:
         self._fs.delete(self._path(rel), False)
 
+    def delete_tree(self, rel: str) -> None:
+        self._fs.delete(self._path(rel), True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own under ``spark.checkpoint.dir``; where that is unset, and the master local, a temporary one. Both go with the application."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{tempfile.gettempdir()}"
+    folder = f"{named.rstrip('/')}/larkspan-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
 
 def files_of(spark: SparkSession | None, root: str) -> Files:
     """Local paths and ``file:`` by the operating system, all else by Hadoop."""

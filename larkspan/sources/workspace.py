@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import re
-import shutil
 
 from pyspark.sql import SparkSession
 
 from larkspan.errors import ExecError
 from larkspan.session import Database
+from larkspan.sources.fs import files_of
 
 
 class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
+        self.spark, self.folder, self.files = spark, folder, files_of(spark, folder)
 
     def _path(self, name: str) -> str:
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
@@ -23,7 +21,7 @@ class Workspace:
         return f"{self.folder}/{name}"
 
     def list_schemas(self) -> list[str]:
-        return sorted(x for x in os.listdir(self.folder) if os.path.exists(os.path.join(self.folder, x, "_meta.json")))
+        return [x for x in self.files.names("") if self.files.exists(f"{x}/_meta.json")]
 
     def create_schema(self, name: str) -> Database:
         return Database.create(self.spark, self._path(name))
@@ -35,7 +33,7 @@ class Workspace:
         """A schema with tables goes only with ``cascade``."""
         if self.open_schema(name).log.state().tables and not cascade:
             raise ExecError(f"schema {name} has tables")
-        shutil.rmtree(self._path(name))
+        self.files.delete_tree(name)
 
     def list_tables(self) -> list[tuple[str, str, int]]:
         """(schema, table, rows) of all schemas, from their logs."""
