@@ -59,6 +59,24 @@ def test_embeddings_odd_rows(spark):
     assert run1(spark, []) == {}
 
 
+@pytest.mark.parametrize("rows", [1 << 7, 1 << 13, 1 << 24, 1 << 32])
+def test_plans_meet_the_recall_and_stay_selective(rows):
+    """Pairs at the threshold, in 64 dimensions, against what the plan promises; unrelated vectors met by a row do not grow with the rows."""
+    plan = E.plan_tables(rows, 0.98, 1e-7)
+    rng, n = np.random.default_rng(rows), 600
+    u, w = rng.standard_normal((2, n, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w -= (w * u).sum(1)[:, None] * u
+    v = 0.98 * u + np.sqrt(1 - 0.98**2) * w / np.linalg.norm(w, axis=1)[:, None]
+    a, b = (E.lattice_keys(x, np.zeros(n), plan, 17).reshape(n, plan.tables, -1) >> 1 for x in (u, v))
+    met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any(2)
+    assert met.any(1).all()
+    share = E.recall_of(plan.codes, plan.scale, 0.98)[plan.probes]
+    assert abs(met.mean() - share) < 0.05 and (1 - share) ** plan.tables <= 1e-7 * 1.01
+    unrelated = rows * plan.tables * (1 + 2 * plan.probes) * (4 * np.pi * plan.scale**2) ** (-4.0 * plan.codes)
+    assert unrelated < 8 and plan.tables * (1 + plan.probes) < 700
+
+
 def test_copies_and_blocks(spark, monkeypatch):
     """A bucket of many items is cut in blocks; counts stay exact, and copies do not become pairs."""
     monkeypatch.setattr(bucketjoin, "BLOCK", 16)

@@ -71,7 +71,7 @@ def test_neighbours_are_exact_where_all_are_candidates(spark):
     rows = [(i, (rng.standard_normal(16) * (1 + i % 3)).tolist()) for i in range(200)] + [(300, [1.0] * 16), (301, [1.0] * 16)]
     df = vecs(spark, rows)
     got = {}
-    for r in ann_forest.search(df, df.where("vec_id % 20 = 0"), shard_rows=64, query_rows=4).orderBy("query_id", "rank").collect():
+    for r in ann_forest.search(df, df.where("vec_id % 20 = 0"), shard_rows=64, least=64).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert len(got[r.query_id]) == r["rank"]
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
@@ -79,33 +79,80 @@ def test_neighbours_are_exact_where_all_are_candidates(spark):
     assert all(abs(a[1] - b[1]) < 1e-12 for q in got for a, b in zip(got[q], want[q]))
 
 
-def test_recall_of_the_forest(spark):
-    """Independent Gaussian vectors, the hardest case: at the production share recall is 0.9 or more."""
-    rng = np.random.default_rng(4)
-    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((6000, 64)))]
-    df = vecs(spark, rows)
-    x = np.array([v for _, v in rows], np.float32).astype(float)
-    hit = total = 0
+def recall(spark, x, every, **kw):
+    df = vecs(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    x = np.array(x, np.float32).astype(float)
     got = {}
-    for r in ann_forest.search(df, df.where("vec_id % 100 = 0")).collect():
+    for r in ann_forest.search(df, df.where(f"vec_id % {every} = 0"), **kw).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
     for q, found in got.items():
         s = x @ x[q]
         s[q] = -np.inf
         hit += len(found & set(np.argsort(-s)[:20].tolist()))
-        total += 20
-    assert len(got) == 60 and 0.9 <= hit / total
+    assert len(got) == -(-len(x) // every)
+    return hit / (20 * len(got))
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.6])
+def test_recall_of_the_forest(spark, sigma):
+    """Independent Gaussian vectors, the hardest case, of equal and of very unequal lengths."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 64))
+    x = x / np.linalg.norm(x, axis=1)[:, None] * np.exp(sigma * rng.standard_normal(6000))[:, None]
+    assert recall(spark, x, 100) >= 0.9
+    assert recall(spark, x, 100, shard_rows=1500) >= 0.9
+
+
+def clustered(rng, n, size=50):
+    centres = rng.standard_normal((n // size, 64))
+    return np.repeat(centres, size, axis=0) + 0.3 * rng.standard_normal((n // size * size, 64))
+
+
+def test_clustered_vectors_need_few_candidates(spark):
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 8000)
+    longest = float(np.linalg.norm(x, axis=1).max())
+    ids = np.arange(len(x))
+    few = [ann_forest.enough(x[:n], ids[:n], x[:n:97], ids[:n:97], longest, 20, 0.96) for n in (4000, 8000)]
+    assert max(few) <= 400  # whatever the number of rows
+    assert recall(spark, x, 100) >= 0.9
 
 
 def test_forest_ascends_to_enough_candidates():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((500, 8))
-    f = ann_forest.Forest(x, trees=6, bits=12, seed=1)
-    for q, cand in enumerate(f.candidates(x[:20], 50)):
-        assert len(cand) >= 50 and q in cand
+    f = ann_forest.Forest(x, 6.0, trees=6, bits=12, seed=1)
+    for cand in f.candidates(x[:20], 50):
+        assert len(cand) >= 50
     assert all(len(c) == 500 for c in f.candidates(x[:3], 500))
 
 
+def test_candidates_stand_below_the_longest_prefixes():
+    """Against prefixes of strings, compared one by one."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 6))
+    f = ann_forest.Forest(x, 5.0, trees=4, bits=10, seed=2)
+    up = ann_forest.lift(x, 5.0)
+    strings = [["".join("1" if v > 0 else "0" for v in u @ p) for u in up] for p in f.planes]
+    for q, cand in enumerate(f.candidates(x[:30], 25)):
+        mine = ["".join("1" if v > 0 else "0" for v in np.append(x[q], 0.0) @ p) for p in f.planes]
+        for level in range(10, -1, -1):
+            below = {i for t in range(4) for i in range(200) if strings[t][i][:level] == mine[t][:level]}
+            if len(below) >= 25 or not level:
+                break
+        assert set(cand.tolist()) == below
+
+
+def test_ties_at_the_last_rank_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(7)
+    same = 3 * rng.standard_normal(16)
+    rows = [(i, same.tolist()) for i in range(500)] + [(1000 + i, rng.standard_normal(16).tolist()) for i in range(500)]
+    df = vecs(spark, rows)
+    got = [r.vec_id for r in ann_forest.search(df, df.where("vec_id = 7"), shard_rows=200).orderBy("rank").collect()]
+    assert got == [i for i in range(21) if i != 7]
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [1.0, 1.0, 1.0]), (20, [0.0, 1.0]), (None, [5.0, 5.0]), (1, [1.0, 0.0])]
     df = vecs(spark, rows)
