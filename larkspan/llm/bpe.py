@@ -21,11 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.scratch import shuffle_partitions
+from larkspan.llm.scratch import materialize, shuffle_partitions
 from larkspan.llm.textkit import slices
 
-#: Text bytes of a chunk; a longer document is a chunk of its own.
+#: Text bytes of a chunk; a longer document is a chunk of its own. A chunk has some ten thousand distinct words or more.
 CHUNK_BYTES = 4 << 20
+#: Tasks that own words, at most: with more of them a chunk's word blocks would hold a few words each.
+OWNERS = 1024
+#: Tokens of a document that are put together at once.
+STEP = 1 << 16
 
 
 def _pack(a: np.ndarray | bytes) -> bytes:
@@ -62,18 +66,24 @@ def _encoder(raw: bytes):
     return _encoders[key]
 
 
+def _settled(docs: DataFrame) -> DataFrame:
+    """``docs``, written first if its plan has a shuffle: rows that a lost task brings again must come in the same order, as chunks follow it."""
+    return materialize(docs, "texts") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
 def _reassembled(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, fields: list[tuple[str, pa.DataType, str]], make: Callable) -> DataFrame:
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         shipped = spark.sparkContext.broadcast(f.read())  # a vocabulary file; its size does not follow the input
     parts = shuffle_partitions(spark)
-    owners = 4 * parts
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    owners = min(4 * parts, OWNERS)
+    src = _settled(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        find, find_all = compiled.finditer, compiled.findall  # the first holds no list of a long text's words
         number, base = itertools.count(), TaskContext.get().partitionId() << 32
         for whole in batches:
             for b in slices(whole, "text", CHUNK_BYTES):
@@ -81,10 +91,10 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, p
                 seen: dict[str, int] = defaultdict(itertools.count().__next__)
                 at, sizes = [], []
                 for t in b.column("text").to_pylist():
-                    words = find(t)
-                    sizes.append(len(words))
-                    at.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
+                    at.append(np.fromiter((seen[m[0]] for m in find(t)) if len(t) > CHUNK_BYTES // 4 else map(seen.__getitem__, find_all(t)), np.uint32))
+                    sizes.append(len(at[-1]))
                 words = [w.encode() for w in seen]
+                stamp = int.from_bytes(hashlib.blake2b(b"\0".join(words), digest_size=8).digest(), "little", signed=True)
                 owner = np.fromiter((zlib.crc32(w) % owners for w in words), np.int64, len(words))
                 order = np.argsort(owner, kind="stable")
                 p, first = np.unique(owner[order], return_index=True)
@@ -95,14 +105,14 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, p
                 n = len(p)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([-1 - chunk, *p.tolist()], pa.int64()), pa.array([chunk] * (n + 1), pa.int64()), pa.array([b.column("id").to_pylist()] + [None] * n, pa.list_(pa.int64())), pa.array([sizes] + [None] * n, pa.list_(pa.int32())),
+                        pa.array([-1 - chunk, *p.tolist()], pa.int64()), pa.array([chunk] * (n + 1), pa.int64()), pa.array([stamp] * (n + 1), pa.int64()), pa.array([b.column("id").to_pylist()] + [None] * n, pa.list_(pa.int64())), pa.array([sizes] + [None] * n, pa.list_(pa.int32())),
                         pa.array([_pack(np.concatenate(at)), *(x[0] for x in blocks)], pa.binary()), pa.array([None, *(x[1] for x in blocks)], pa.binary()), pa.array([None, *(x[2] for x in blocks)], pa.binary()),
                     ],
-                    ["key", "chunk", "ids", "sizes", "at", "lens", "words"],
+                    ["key", "chunk", "stamp", "ids", "sizes", "at", "lens", "words"],
                 )
 
     # one shuffle for both: word blocks go to their owners, positions wait for the ids at their chunk's key
-    pieces = src.mapInArrow(cut, "key long, chunk long, ids array<long>, sizes array<int>, at binary, lens binary, words binary").repartition(parts, "key")
+    pieces = src.mapInArrow(cut, "key long, chunk long, stamp long, ids array<long>, sizes array<int>, at binary, lens binary, words binary").repartition(parts, "key")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = _encoder(shipped.value)
@@ -123,9 +133,9 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, p
                     out.append(got)
                 lens = np.array(list(map(len, out)))
                 flat = np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(lens.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - b.column("chunk")[i].as_py()], pa.int64()), b.column("at").slice(i, 1), pa.array([_pack(lens)], pa.binary()), pa.array([_pack(flat)], pa.binary())], ["key", "at", "lens", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - b.column("chunk")[i].as_py()], pa.int64()), b.column("stamp").slice(i, 1), b.column("at").slice(i, 1), pa.array([_pack(lens)], pa.binary()), pa.array([_pack(flat)], pa.binary())], ["key", "stamp", "at", "lens", "tokens"])
 
-    coded = pieces.sortWithinPartitions("key").mapInArrow(merged, "key long, at binary, lens binary, tokens binary")
+    coded = pieces.sortWithinPartitions("key").mapInArrow(merged, "key long, stamp long, at binary, lens binary, tokens binary")
     schema = pa.schema([pa.field(id_col, pa.int64()), *(pa.field(n, t) for n, t, _ in fields)])
 
     def joined(_key, head: pa.Table, parts: pa.Table) -> pa.Table:
@@ -133,6 +143,8 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, p
         if not rows:
             return schema.empty_table()
         ids, sizes, at = rows[0]["ids"], rows[0]["sizes"], _numbers(rows[0]["at"])
+        if any(r["stamp"] != rows[0]["stamp"] for r in parts.to_pylist()):
+            raise RuntimeError("a chunk's words are not those of its positions: its input changed between two runs of a task")
         blocks = [tuple(_numbers(r[c]) for c in ("at", "lens", "tokens")) for r in parts.to_pylist()]
         word_ids: list = [None] * sum(len(b[0]) for b in blocks)
         for where, lens, tokens in blocks:
@@ -174,8 +186,12 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         count = np.array([len(x) for x in listed], np.int64)
 
         def emit(at: np.ndarray) -> tuple[int, str, str]:
-            k = at.tolist()
-            return int(count[at].sum()), hashlib.sha256(" ".join([text[i] for i in k]).encode()).hexdigest(), hashlib.sha256(b"".join([back[i] for i in k])).hexdigest()
+            ids, plain = hashlib.sha256(), hashlib.sha256()
+            for start in range(0, len(at), STEP):
+                k = at[start : start + STEP].tolist()
+                ids.update(((" " if start else "") + " ".join([text[i] for i in k])).encode())
+                plain.update(b"".join([back[i] for i in k]))
+            return int(count[at].sum()), ids.hexdigest(), plain.hexdigest()
 
         return emit
 

@@ -14,35 +14,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.llm.names import free_names
 from larkspan.llm.scratch import materialize, release, shuffle_partitions
-from larkspan.llm.textkit import SPACE, WORD, buffers, runs, slices
+from larkspan.llm.textkit import size_and_prose, slices
 
 RUNS = "array<struct<above: double, upto: double, most: double>>"
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int = 7) -> DataFrame:
-    """``docs`` as ``(id, source, size, key)``: size in ``[^\\x20\\x09-\\x0D]+`` matches, key exponential with the text's quality as rate.
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality_col: str | None = None, seed: int = 7) -> DataFrame:
+    """``docs`` as ``(id, source, size, key)``: size in ``[^\\x20\\x09-\\x0D]+`` matches, key exponential with the document's quality as rate.
 
-    Quality is the share of the text's bytes that belong to words or ASCII blanks, 0.05 at least. The key follows from id and text
-    alone, so reruns agree, and rows equal in both share a key.
+    Quality is ``quality_col``, as a classifier's score, or else the share of the text's bytes that belong to words or ASCII blanks; 0.05 at least, and
+    where it is null. The key follows from id, text and quality alone, so reruns agree, and rows equal in these share a key.
     """
-    u = (F.expr(f"xxhash64(id, text, {seed}L)").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source")).withColumn("e", -F.log(u))
+    quality = F.col(quality_col).cast("double") if quality_col else F.lit(None).cast("double")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), quality.alias("quality"))
+    src = src.withColumn("e", _exponential(F.col("id"), F.col("text"), seed))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                data, off = buffers(b.column("text"))
-                size = np.bincount(runs(data, off, ~SPACE)[2], minlength=b.num_rows)
-                good = np.concatenate([[0], np.cumsum((WORD | SPACE)[data])])
-                share = (good[off[1:]] - good[off[:-1]]) / np.maximum(1, off[1:] - off[:-1])
-                key = b.column("e").to_numpy() / np.maximum(0.05, share)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(size.astype(np.int64)), pa.array(key)], ["id", "source", "size", "key"])
+                size, prose = size_and_prose(b.column("text"))
+                rate = b.column("quality").to_numpy(zero_copy_only=False) if quality_col else prose
+                key = b.column("e").to_numpy() / np.fmax(0.05, rate)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(size), pa.array(key)], ["id", "source", "size", "key"])
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(measured, f"id {kind}, source string, size long, key double")
 
 
+def _exponential(id_: Column, text: Column, seed: int) -> Column:
+    u = (F.xxhash64(id_, text, F.lit(seed).cast("long")).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(u)
+
+
 def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
     """``(source, weight)``: sources by code point, null last, weigh as ``cycle`` repeats."""
     spark = sources.sparkSession
@@ -184,54 +189,56 @@ def copies(key: Column, size: Column, epochs: Column, runs: Column, extra: Colum
     return (epochs + F.when((_in_runs(key, size, runs) & ~odd) | F.array_contains(extra, key), 1).otherwise(0)).cast("long")
 
 
-def mix_plan(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows ``(id, source, size, key)`` and the plan of a mix with its exceptions, see :func:`cutoffs`."""
-    rows = materialize(sized(docs, id_col, text_col, source_col), "sizes")
+    rows = materialize(sized(docs, id_col, text_col, source_col, quality_col), "sizes")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
     w = weights if isinstance(weights, DataFrame) else cyclic_weights(sizes, tuple(weights))
     return rows, *cutoffs(rows, source_targets(sizes, w, most=most))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None) -> DataFrame:
     """``(id, size, source_size, target, taken)`` for each row, ``taken`` in words with repeats counted.
 
     A null source is a source of its own, a null text has size 0 and is taken 0 words. Rows with null or repeated ids are rows
     like others; rows equal in id and text are taken together. Other columns are ignored, an empty table gives no rows.
     Where a source's documents are of many sizes, its taken words miss the target by a few.
     """
-    rows, plan, odd = mix_plan(docs, weights, most, id_col, text_col, source_col)
+    rows, plan, odd = mix_plan(docs, weights, most, id_col, text_col, source_col, quality_col)
     out = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).join(odd.alias("o"), F.expr("r.source <=> o.source and r.key = o.key"), "left")
     n = copies(F.col("r.key"), F.col("size"), F.col("epochs"), F.col("runs"), F.col("extra"), F.col("o.key").isNotNull())
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * n).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; texts are not shuffled. Rows of size 0 go where no whole epoch takes them."""
-    _, plan, odd = mix_plan(docs, weights, most, id_col, text_col, source_col)
-    names = docs.columns
-    plan = plan.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("runs").alias("_runs"), F.col("extra").alias("_extra"))
-    odd = odd.select(F.col("source").alias("_odd_source"), F.col("key").alias("_odd"))
-    keyed = _with_key(docs, id_col, text_col, seed)
-    out = keyed.join(plan, keyed[source_col].cast("string").eqNullSafe(plan["_source"])).join(odd, F.expr("_source <=> _odd_source and _key = _odd"), "left")
-    out = out.withColumn("_n", copies(F.col("_key"), F.col("_size"), F.col("_epochs"), F.col("_runs"), F.col("_extra"), F.col("_odd").isNotNull()).cast("int"))
-    return out.where("_n > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _n)"))).select(*names)
+def mixed_documents(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, seed: int = 7) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; texts are not shuffled. Rows of size 0 go where no whole epoch takes them.
+
+    All columns come back as they were, whatever their names.
+    """
+    _, plan, odd = mix_plan(docs, weights, most, id_col, text_col, source_col, quality_col)
+    key, size, source, epochs, runs, extra, odd_source, odd_key, copy = free_names(docs.columns, "_key", "_size", "_source", "_epochs", "_runs", "_extra", "_odd_source", "_odd_key", "_copy")
+    plan = plan.select(*[F.col(c).alias(n) for c, n in (("source", source), ("epochs", epochs), ("runs", runs), ("extra", extra))])
+    odd = odd.select(F.col("source").alias(odd_source), F.col("key").alias(odd_key))
+    measured = docs.withColumn(key, _measured(F.col(text_col).cast("string")))
+    e, rate = _exponential(F.col(id_col), F.col(text_col).cast("string"), seed), F.col(quality_col).cast("double") if quality_col else F.col(f"{key}.prose")
+    keyed = measured.withColumn(size, F.col(f"{key}.size")).withColumn(key, e / F.greatest(F.lit(0.05), rate))
+    out = keyed.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col(source))).join(odd, F.col(source).eqNullSafe(F.col(odd_source)) & (F.col(key) == F.col(odd_key)), "left")
+    n = copies(F.col(key), F.col(size), F.col(epochs), F.col(runs), F.col(extra), F.col(odd_key).isNotNull()).cast("int")
+    return out.withColumn(copy, F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _with_key(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """``docs`` with its rows' keys and sizes as ``_key`` and ``_size``, equal to those of :func:`sized`."""
-    text = F.col(text_col).cast("string")
-    u = (F.xxhash64(F.col(id_col), text, F.lit(seed).cast("long")).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+def _measured(text: Column) -> Column:
+    """Size and share of prose, as :func:`sized` has them."""
 
-    def measured(texts):  # type: ignore[no-untyped-def]
+    def run(texts):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        share, size = [np.zeros(0)], [np.zeros(0, np.int64)]
-        for b in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), "t"):
-            data, off = buffers(b.column("t"))
-            good = np.concatenate([[0], np.cumsum((WORD | SPACE)[data])])
-            share.append(np.maximum(0.05, (good[off[1:]] - good[off[:-1]]) / np.maximum(1, off[1:] - off[:-1])))
-            size.append(np.bincount(runs(data, off, ~SPACE)[2], minlength=b.num_rows).astype(np.int64))
-        return pd.DataFrame({"share": np.concatenate(share), "size": np.concatenate(size)})
+        parts = [size_and_prose(b.column("t")) for b in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), "t")]
+        size, prose = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"size": size, "prose": prose})
 
-    out = docs.withColumn("_m", F.pandas_udf(measured, "share double, size long")(text))
-    return out.withColumn("_key", -F.log(u) / F.col("_m.share")).withColumn("_size", F.col("_m.size")).drop("_m")
+    return F.pandas_udf(run, "size long, prose double")(text)

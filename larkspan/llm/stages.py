@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import bpe, line_dedup, mixing, ngram_join, toxicity
+from larkspan.llm.names import free_names
 from larkspan.llm.scratch import materialize, shuffle_partitions
 
 
@@ -18,13 +19,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: flo
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in three documents or more stay in the last of them; ``n_chars`` follows the text."""
-    names = docs.columns
     out = line_dedup.dedup_lines(docs)
-    text = line_dedup.kept_text(F.col("text"), F.col("_bitmap"))
-    out = out.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_bitmap").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+    bitmap = F.col(out.columns[-2])
+    text = line_dedup.kept_text(F.col("text"), bitmap)
+    columns = []
+    for name in docs.columns:
+        c = F.col(mixing.quoted(name))
+        if name == "text":
+            c = text
+        elif name == "n_chars":
+            c = F.when(bitmap.isNull(), c).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        columns.append(c.alias(name))
+    return out.select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +39,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Where ids repeat, each text of an id is a document of its own (by a hash, in its order), and of rows equal in both one stays.
     Rows with a null id stay.
     """
-    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        gone = ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    names, key = docs.columns, ["doc_id", "_hash"]
-    docs = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = docs.where("doc_id is not null").groupBy(*key).agg(F.count("*").alias("_n"))
+    names = docs.columns
+    gone, text_hash = free_names(names, "_gone", "_hash")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is not null and n > 1").isEmpty():
+        lost = ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias(gone))
+        return docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
+    docs = docs.withColumn(text_hash, F.xxhash64("text"))
+    key = ["doc_id", "hash"]
+    own = [F.col("doc_id"), F.col(text_hash).alias("hash")]
+    rows = docs.where("doc_id is not null").select(*own).groupBy(*key).agg(F.count("*").alias("n"))
     # numbers in the order of id and hash
-    rows = rows.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "row_keys")
-    found = ngram_join.ngram_jaccard_join(docs.join(rows, key).select("_row", "text"), id_col="_row").where(~F.col("kept"))
-    left = docs.join(rows.join(found, "_row").select(*key), key, "left_anti")
-    repeated = rows.where("_n > 1").select(*key)
-    once = left.join(repeated, key, "left_anti").select(*names)
-    first = left.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*names)).alias("_first"))
-    return once.unionByName(first.select("_first.*"))
+    found = ngram_join.ngram_jaccard_join(docs.select(*own, "text").join(rows, key).select("row", "text"), id_col="row").where(~F.col("kept"))
+
+    def among(some: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        keys = some.select(F.col("doc_id").alias(gone), F.col("hash").alias(gone + "h"))
+        return of.join(keys, (F.col("doc_id") == F.col(gone)) & (F.col(text_hash) == F.col(gone + "h")), how)
+
+    left = among(rows.join(found, "row"), "left_anti", docs)
+    repeated = rows.where("n > 1")
+    once = among(repeated, "left_anti", left).select(*map(mixing.quoted, names))
+    first = among(repeated, "left_semi", left).groupBy("doc_id", text_hash).agg(F.min(F.struct(*map(mixing.quoted, names))).alias(gone))
+    return once.unionByName(first.select(F.col(f"{gone}.*")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

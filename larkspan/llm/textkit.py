@@ -147,3 +147,24 @@ def shingles(col: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         ok = left > j
         acc[ok] += w[at[ok] + j] * coef[j]
     return mix(acc), out_off
+
+
+def size_and_prose(col: pa.Array, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the number of maximal runs of non-blank bytes, and the share of bytes in words or blanks. Long rows are gone through in pieces."""
+    data, off = buffers(col)
+    size, prose = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
+    firsts = off[:-1][off[:-1] < off[1:]]
+    for start in range(0, len(data), most):
+        end = min(start + most, len(data))
+        solid = ~SPACE[data[start:end]]
+        before = np.zeros(len(solid), bool)
+        before[1:], before[0] = solid[:-1], start > 0 and not SPACE[data[start - 1]]
+        a, b = np.searchsorted(firsts, [start, end])
+        before[firsts[a:b] - start] = False
+        first, last = np.searchsorted(off, [start, end - 1], "right") - 1
+        rows = np.searchsorted(off, np.flatnonzero(solid & ~before) + start, "right") - 1
+        size[first : last + 1] += np.bincount(rows - first, minlength=last + 1 - first)
+        run = np.concatenate([[0], np.cumsum((WORD | SPACE)[data[start:end]])])
+        edge = np.clip(off[first : last + 2], start, end) - start
+        prose[first : last + 1] += run[edge[1:]] - run[edge[:-1]]
+    return size, prose / np.maximum(1, off[1:] - off[:-1])

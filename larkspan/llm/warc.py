@@ -43,18 +43,25 @@ def _uri(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "%{:02X}".format(ord(c)) for c in url or "") or "about:blank"
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit (``refers_to`` given) holds the HTTP header only."""
+def info_bytes(place: str, date: str) -> bytes:
+    """The record at the head of each file."""
+    body = b"software: larkspan\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, place: str, date: str) -> bytes:
+    """One WARC/1.1 record; a revisit (``refers_to`` given) holds the HTTP header only. ``place``, the file and offset, makes the record's own id."""
     http = _HTTP % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url)}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/http; msgtype=response",
     ]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -76,7 +83,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 30, compress: bool = True, date: str | None = None) -> DataFrame:
-    """Write one record per row under ``folder`` and return the index, a table in the shared folder.
+    """Write one record per row under ``folder``, after a ``warcinfo`` record in each file, and return the index, a table in the shared folder.
 
     Payloads are the column in UTF-8, null as empty. Of rows with equal payloads of at least ``least_bytes`` bytes those
     with the smallest id are responses, the others revisits that refer to it; without any id in such a group all are
@@ -90,7 +97,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     src = src.withColumn("sha", F.sha1(F.encode("payload", "UTF-8")))
-    firsts = src.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    firsts = src.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
     rows = src.join(firsts, "sha", "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,16 +107,20 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         try:
             for b in batches:
                 index = []
-                for page_id, url, payload, sha, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "first"))):
+                for page_id, url, payload, sha, first, first_url in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "first", "first_url"))):
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
                         name, at, k = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{k:04d}-{uuid.uuid4().hex[:8]}.warc{'.gz' if compress else ''}", 0, k + 1
                         fs.create_dir(base, recursive=True)
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                        info = info_bytes(name, date)
+                        info = gzip.compress(info, 3, mtime=0) if compress else info
+                        out.write(info)
+                        at = len(info)
                     data, digest = payload.encode(), base64.b32encode(bytes.fromhex(sha)).decode()
                     refers = first if first is not None and first != page_id else None
-                    raw = record_bytes(page_id, url, data, digest, refers, date)
+                    raw = record_bytes(page_id, url, data, digest, refers, first_url, f"{name}#{at}", date)
                     raw = gzip.compress(raw, 3, mtime=0) if compress else raw
                     out.write(raw)
                     index.append((f"{folder}/{name}", at, len(raw), page_id, url, digest, len(data), "response" if refers is None else "revisit", refers))
@@ -119,7 +130,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             if out is not None:
                 out.close()
 
-    return materialize(rows.select("page_id", "url", "payload", "sha", "first").mapInArrow(write, INDEX_SCHEMA), "warc-index")
+    return materialize(rows.select("page_id", "url", "payload", "sha", "first", "first_url").mapInArrow(write, INDEX_SCHEMA), "warc-index")
 
 
 _INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])

@@ -66,3 +66,58 @@ def dedup_lines(rows, min_points=20, min_docs=3):
         gone = [i is not None and len(seen.get(key(x), ())) >= min_docs and i != max(seen[key(x)]) for x in lines]
         out.append((lines, [x for x, g in zip(lines, gone) if not g]))
     return out
+
+
+def water(sizes, weights, most=3.0):
+    """Targets: all sizes shared by weight, none above ``most`` times its source's size."""
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in capped)
+        w = sum(weights[s] for s in sizes if s not in capped)
+        over = {s for s in sizes if s not in capped and left * weights[s] / w > most * sizes[s] + 1e-9}
+        if not over:
+            return {s: most * sizes[s] if s in capped else left * weights[s] / w for s in sizes}
+        capped |= over
+
+
+def partial_pass(items, target, room, near=0.01):
+    """Keys that the last, partial pass through one source takes. items: (key, size), keys unlike, sizes above 0."""
+
+    def fill(gap, ahead):
+        taken = set()
+        for key, size in sorted(items):
+            if key not in ahead and size <= gap:
+                taken.add(key)
+                gap -= size
+        rest = [(size, key) for key, size in items if key not in taken and key not in ahead and size < 2 * gap]
+        size, closing = min(rest) if rest else (0, None)
+        return taken, closing, abs(gap - size)
+
+    ahead = []
+    taken, closing, miss = fill(room, ahead)
+    while room > 0 and miss > near * target:
+        others = [(key, size) for key, size in items if key not in taken and key not in ahead]
+        fits = [x for x in others if x[1] <= room]
+        if not others:
+            break
+        key, size = min(fits) if fits else min(others, key=lambda x: (x[1], x[0]))
+        tried = fill(room - size, [*ahead, key])
+        if tried[2] >= miss:
+            break
+        (taken, closing, miss), ahead, room = tried, [*ahead, key], room - size
+    return taken | set(ahead) | ({closing} - {None})
+
+
+def mixed(rows, cycle=(5, 2, 1), most=3.0):
+    """rows: (name, source, size, key), keys unlike. {name: how often the mix takes it}."""
+    sizes = {}
+    for _, s, size, _ in rows:
+        sizes[s] = sizes.get(s, 0) + size
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = water(sizes, {s: cycle[i % len(cycle)] for i, s in enumerate(order)}, most)
+    out = {}
+    for s in sizes:
+        epochs = int(target[s] // sizes[s]) if sizes[s] else 0
+        some = partial_pass([(key, size) for _, t, size, key in rows if t == s and size], target[s], target[s] - epochs * sizes[s])
+        out |= {name: epochs + (key in some) for name, t, _, key in rows if t == s}
+    return out

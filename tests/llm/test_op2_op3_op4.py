@@ -11,7 +11,7 @@ import pytest
 
 from larkspan.llm import ann_forest, mixing, warc
 from pyspark.sql import functions as F
-from tests.llm.helpers import LONG
+from tests.llm.helpers import LONG, mixed, water
 
 PAGES = [(3, "http://a/1", "same"), (1, "http://a/2", "same"), (2, None, None), (4, "http://é b\r\n/x", ""), (5, "http://a/5", LONG + "ü"), (5, "http://a/5", LONG + "ü"), (None, "http://n", "same"), (6, "u", "WARC/1.1\r\n\r\nx\r\n\r\n")]
 
@@ -34,7 +34,9 @@ def test_warc_round_trip(spark, tmp_path, compress):
     assert sorted(map(str, got)) == sorted(map(str, want))
     files = glob.glob(str(tmp_path / "w" / "*"))
     whole = b"".join(gzip.decompress(open(f, "rb").read()) if compress else open(f, "rb").read() for f in files)
-    assert whole.count(b"WARC-Type: ") == len(PAGES)
+    assert whole.count(b"WARC-Type: ") == len(PAGES) + len(files) and whole.count(b"WARC-Type: warcinfo") == len(files)
+    names = re.findall(rb"WARC-Record-ID: (\S+)", whole)
+    assert len(set(names)) == len(names) and whole.count(b"WARC-Refers-To-Target-URI: http://a/2\r\n") == 2
     picked = warc.read_warc(index.where("page_id = 5")).collect()
     assert len(picked) == 2 and all(bytes(r.payload).decode() == LONG + "ü" for r in picked)
 
@@ -165,15 +167,53 @@ def documents(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1.0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, key double")
 
 
-def water(sizes, weights, most=3.0):
-    total, capped = sum(sizes.values()), set()
-    while True:
-        left = total - sum(most * sizes[s] for s in capped)
-        w = sum(weights[s] for s in sizes if s not in capped)
-        over = {s for s in sizes if s not in capped and left * weights[s] / w > most * sizes[s] + 1e-9}
-        if not over:
-            return {s: most * sizes[s] if s in capped else left * weights[s] / w for s in sizes}
-        capped |= over
+@pytest.mark.parametrize("seed", range(3))
+def test_the_choice_of_documents_matches_brute_force(spark, seed):
+    """Document by document: by keys, skipping what does not fit, closing with what is nearest."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(400):
+        s = ["a", "b", "c", None, "e"][int(rng.integers(5))]
+        n = int(rng.integers(0, 60)) if s != "c" else int(rng.choice([3, 900]))
+        rows.append((i, " ".join(f"w{x}" for x in rng.integers(0, 999, n)) + (" ***" if i % 3 else ""), s))
+    docs = documents(spark, rows)
+    keys = {r.id: (r.id, r.source, r.size, r.key) for r in mixing.sized(docs, "doc_id", "text", "source").collect()}
+    times = mixed(list(keys.values()))
+    got = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
+    assert got == {i: times[i] * keys[i][2] for i in keys}
+    out = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    assert sorted(out) == sorted(i for i, n in times.items() for _ in range(n))
+
+
+def test_sizes_and_prose_of_long_texts():
+    from larkspan.llm.textkit import size_and_prose
+    import pyarrow as pa
+
+    texts = ["a b  c\n", "", None, LONG, " x" * 50, "é **,\x0b\ty"]
+    size, prose = size_and_prose(pa.array(texts))
+    assert size.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert np.isclose(prose[5], 1 - 3 / 9) and prose[0] == 1
+    for most in (1, 7, 1000):
+        a, b = size_and_prose(pa.array(texts[:3] + texts[4:]), most)
+        c, d = size_and_prose(pa.array(texts[:3] + texts[4:]))
+        assert (a == c).all() and np.allclose(b, d)
+
+
+def test_quality_may_be_a_column(spark):
+    rows = [(i, f"w{i} " * 10, "s", 1.0 if i % 2 else None) for i in range(600)] + [(1000 + i, f"v{i} " * 100, "t", 0.5) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double")
+    got = mixing.mix_sources(docs, weights=(1, 30), quality_col="quality").where("doc_id < 1000").collect()
+    assert sum(r.taken for r in got if r.doc_id % 2) > 5 * sum(r.taken for r in got if not r.doc_id % 2) > 0
+    assert mixing.mixed_documents(docs, weights=(1, 30), quality_col="quality").where("doc_id < 1000").count() == sum(r.taken > 0 for r in got)
+
+
+def test_mixed_rows_keep_all_their_columns(spark):
+    own = ["_key", "_size", "_source", "_epochs", "_runs", "_extra", "_odd", "_odd_source", "_odd_key", "_copy", "_n", "_m", "key", "size", "target"]
+    rows = [(i, f"w{i} " * (1 + i % 9), "ab"[i % 2], *[f"{c} {i}" for c in own]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in own))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert out.count() > 0 and all(tuple(r) == rows[r.doc_id] for r in out.collect())
 
 
 def test_mix(spark):

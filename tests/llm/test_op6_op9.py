@@ -52,6 +52,23 @@ def test_one_shuffle_serves_words_and_positions(spark):
     assert "ReusedExchange" in df._jdf.queryExecution().toString()
 
 
+def test_inputs_with_a_shuffle_are_written_first(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert bpe._settled(df) is df and bpe._settled(df.where("doc_id > 3").select("text", "doc_id")).inputFiles()[0].split(":")[1].lstrip("/").startswith(str(tmp_path)[1:])
+    again = bpe._settled(df.repartition(3))
+    assert "larkspan-" in again.inputFiles()[0] and again.count() == 50
+
+
+def test_long_documents_go_through_in_steps(spark, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(bpe, "STEP", 7)
+    text = "It's a long text, with words and 12345 numbers. " * 200
+    [r] = bpe.encoding_digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, tokenizers.PATTERN).collect()
+    ids = reference.encode_ordinary(text)
+    assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_word_owners_depend_on_bytes_only():
     assert bpe.zlib.crc32("é".encode()) == bpe.zlib.crc32(b"\xc3\xa9") and base64.b64encode(b"x")
 

@@ -8,8 +8,11 @@ import numpy as np
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
-from larkspan.llm import stages  # noqa: E402
-from tests.llm.helpers import components, dedup_lines, jaccard_links  # noqa: E402
+import pyarrow as pa  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from larkspan.llm import bpe, mixing, stages, toxicity  # noqa: E402
+from tests.llm.helpers import components, dedup_lines, jaccard_links, mixed  # noqa: E402
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 RUDE = ("rude", "nasty", "vile")
@@ -73,6 +76,38 @@ def test_run_is_the_stages_in_a_row(spark, sf_dir):
     assert out.columns == ["doc_id", "n_tokens", "token_ids"] and key(out) == key(again)
 
 
+def test_run_matches_brute_force(spark, sf_dir):
+    """All stages in a row, document by document; the classifier's probabilities are taken as they are."""
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    p = model.probabilities(model.matrix(pa.array([r.text for r in rows.values()])))[:, -1]
+    clean = [(i, rows[i].text) for i, x in zip(rows, p) if x < 0.5]
+    texts = {i: "\n".join(kept) for (i, _), (_, kept) in zip(clean, dedup_lines(clean))}
+    comp = components(texts, jaccard_links(texts))
+    texts = {i: t for i, t in texts.items() if comp[i] == i}
+    frame = spark.createDataFrame([(i, t, rows[i].source) for i, t in texts.items()], "doc_id long, text string, source string")
+    times = mixed([(r.id, r.source, r.size, r.key) for r in mixing.sized(frame, "doc_id", "text", "source").collect()])
+    ranks = bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((i, own.encode_ordinary(t)) for i, t in texts.items() for _ in range(times[i]))
+    assert 0 < len(texts) < len(clean) < len(rows)
+    assert sorted((r.doc_id, r.token_ids) for r in pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_stages_keep_all_columns(spark, sf_dir):
+    own = ["_gone", "_hash", "_row", "_n", "_first", "_bitmap", "_n_dropped", "_id", "_th", "_h", "_key", "_size", "_copy", "kept", "rep", "hash", "row", "n", "_gone_"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(c + " "), "doc_id").alias(c) for c in own])
+    docs = docs.unionByName(docs.where("doc_id = 5")).unionByName(docs.where("doc_id = 7").withColumn("text", F.lit("another text of this id")))
+    for name, f in pipeline.STAGES[:-1]:
+        out = f(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c} {r.doc_id}" for r in got for c in own), name
+
+
 def test_stages_take_odd_rows(spark, sf_dir):
     rows = [(None, None, None, None, None), (1, None, "en", None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (3, "x " * 50_000, "en", "a", 100_000), (3, "y", "en", "a", 1)]
     docs = spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA + ", rep string")
