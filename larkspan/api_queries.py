@@ -385,6 +385,20 @@ def admin_change_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.query("SELECT k, v FROM t WHERE k LIKE '1%'")
 
 
+@_query("SELECT * FROM (VALUES (1, 'none given'), (2, 'own'), (3, NULL)) t(k, v)")
+def admin_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark)
+    db.execute("CREATE TABLE t (k INTEGER, old TEXT)")
+    admin = Admin(db)
+    admin.set_default("t", "old", "none given")
+    admin.rename_column("t", "old", "v")
+    admin.insert_row("t", {"k": 1})
+    admin.insert_row("t", {"k": 2, "v": "own"})
+    admin.set_default("t", "v", None)
+    admin.insert_row("t", {"k": 3})
+    return db.query("SELECT k, v FROM t")
+
+
 @_query("SELECT 0 AS left_in_t, count(*) AS renamed FROM nation")
 def admin_rename_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = nation(spark, sf_dir)

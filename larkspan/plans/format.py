@@ -11,13 +11,16 @@ _MORE = frozenset("IF EXISTS INDEX SHOW TABLES BEGIN COMMIT ROLLBACK WORK TRANSA
 
 
 def format_sql(sql: str) -> str:
-    """One or more statements, each ended by ``;`` if there are several or the text has one. Comments are left out."""
+    """One or more statements, each ended by ``;`` if there are several or the text has one. Comments are left out, literals are quoted in one way."""
     out: list[str] = []
     line, depth, last = "", 0, None
     tokens = tokenize(sql)
 
     def text(t: Token) -> str:
-        raw = sql[t.at : tokens[tokens.index(t) + 1].at].rstrip() if t.kind in ("text", "name") else str(t.value)
+        if t.kind in ("text", "name"):
+            mark = "'" if t.kind == "text" else '"'
+            return mark + str(t.value).replace(mark, mark + mark) + mark
+        raw = str(t.value)
         return raw.upper() if t.kind == "word" and raw.upper() in RESERVED | _MORE else raw
 
     between = False

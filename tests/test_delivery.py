@@ -8,8 +8,10 @@ import threading
 
 import pytest
 
+from larkspan.errors import BindError, TxnError
 from larkspan.results import QueryResult, to_csv
 from larkspan.server import Server
+from larkspan.session import Database, Isolation
 from larkspan.sources.admin import Admin
 from tests.conftest import run
 from tests.test_sql import fill
@@ -92,7 +94,7 @@ def test_admin(db, tmp_path):
     fill(db, "t", "k INTEGER NOT NULL, v TEXT", [(3, "c"), (1, "a"), (2, None)])
     a = Admin(db)
     assert a.list_tables() == [("t", 3)] and a.count("t") == 3
-    assert a.describe("t")[0] == {"name": "k", "type": "bigint", "nullable": False, "indexes": []}
+    assert a.describe("t")[0] == {"name": "k", "type": "bigint", "nullable": False, "default": None, "indexes": []}
     assert a.browse("t", 0, 2).rows == [(3, "c"), (1, "a")] and a.browse("t", 1, 2, "k").rows == [(3, "c")]
     assert a.insert_row("t", {"k": 4}) == 1 and a.update_row("t", {"k": 4}, {"v": "d"}) == 1 and a.delete_row("t", {"v": None}) == 1
     a.add_column("t", "x", "bigint")
@@ -180,3 +182,61 @@ def test_workspace(spark, tmp_path):
     w.drop_schema("a")
     w.drop_schema("b", cascade=True)
     assert w.list_schemas() == []
+
+
+def test_pages_and_routing(spark, tmp_path):
+    db = Database.create(spark, str(tmp_path / "d"), replica_dir=str(tmp_path / "r"))
+    fill(db, "t", "id INTEGER, v TEXT", [(i, f"v{i}") for i in range(10)])
+    q = db.session().query_result("SELECT id FROM t ORDER BY id")
+    assert q.page(1, 4) == [(4,), (5,), (6,), (7,)] and q.page(2, 4) == [(8,), (9,)] and q.page(9, 4) == []
+    read = lambda: db.query("SELECT id FROM t", source="auto").inputFiles()[0]
+    assert "/d/data" in read()  # never flushed
+    db.flush_to_columnar()
+    assert "/r/segments" in read()
+    db.execute("INSERT INTO t VALUES (10, 'x')")
+    assert "/d/data" in read()
+
+
+def test_isolation_levels(db):
+    fill(db, "t", "id INTEGER, v TEXT", [(1, "a"), (2, "b")])
+    s = db.session(Isolation.READ_COMMITTED)
+    s.execute("BEGIN")
+    s.execute("INSERT INTO t VALUES (3, 'mine')")
+    db.execute("INSERT INTO t VALUES (4, 'theirs')")
+    assert sorted(s.execute("SELECT id FROM t").rows) == [(1,), (2,), (3,), (4,)]
+    db.execute("UPDATE t SET v = 'new' WHERE id = 4")
+    assert s.execute("UPDATE t SET v = 'over' WHERE id = 4").rows_affected == 1
+    s.execute("COMMIT")
+    assert sorted(db.execute("SELECT id, v FROM t").rows) == [(1, "a"), (2, "b"), (3, "mine"), (4, "over")]
+    s.execute("BEGIN")
+    s.execute("DELETE FROM t WHERE id = 1")
+    db.execute("UPDATE t SET v = 'z' WHERE id = 1")
+    with pytest.raises(TxnError):
+        s.execute("COMMIT")
+
+
+def test_type_changes_and_defaults(db):
+    fill(db, "t", "id INTEGER, v TEXT", [(1, "10"), (2, None), (3, "-7")])
+    admin = Admin(db)
+    admin.change_type("t", "v", "bigint")
+    assert db.execute("SELECT SUM(v) FROM t").rows == [(3,)]
+    admin.change_type("t", "id", "string")
+    admin.set_default("t", "v", 5)
+    admin.insert_row("t", {"id": "x"})
+    assert db.execute("SELECT id, v FROM t WHERE v > 4 ORDER BY v").rows == [("x", 5), ("1", 10)]
+    assert [c["default"] for c in admin.describe("t")] == [None, 5]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        admin.change_type("t", "id", "bigint")
+    assert db.execute("SELECT COUNT(*) FROM t WHERE id = 'x'").rows == [(1,)]
+    with pytest.raises(BindError):
+        admin.set_default("t", "v", "text")
+
+
+def test_formatted_statements_mean_the_same():
+    from larkspan.plans.format import format_sql
+    from larkspan.plans.parser import parse
+    from tests.test_parser import VALID
+
+    for sql in VALID:
+        assert parse(format_sql(sql)) == parse(sql) and format_sql(format_sql(sql)) == format_sql(sql), sql
+    assert format_sql("select a from t where b='x' -- remark\n and c in(1,2);delete from t") == "SELECT a\nFROM t\nWHERE b = 'x'\n  AND c IN (1, 2);\nDELETE\nFROM t"
