@@ -16,6 +16,9 @@ from larkspan.plans import ast as A
 #: Hidden column with the order of insertion.
 RID = "_rid"
 
+#: Rows of an unfiltered LIMIT that one task reads alone.
+FEW = 1 << 16
+
 
 @dataclass(frozen=True)
 class Relation:
@@ -145,6 +148,8 @@ class Planner:
             return self.distinct(q, df, done, order)
         if order or self.settled and rids:
             df = R.sort(df, [*order, *[(F.col(quoted(r)), False) for r in rids]])
+        elif q.limit is not None and q.limit + (q.offset or 0) <= FEW and q.where is None and not q.joins:
+            df = df.coalesce(1)  # any rows will do: one task reads until it has them, instead of some from every partition
         df = R.limit(df, q.limit, q.offset)
         return self.output(df, done)
 

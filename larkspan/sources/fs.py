@@ -155,7 +155,9 @@ def new_folder(spark: SparkSession) -> str:
         named = f"file://{tempfile.gettempdir()}"
     folder = f"{named.rstrip('/')}/larkspan-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)  # only what exists can be marked
+    fs.deleteOnExit(path)
     return folder
 
 

@@ -219,3 +219,10 @@ def test_update_and_delete(db):
 def test_empty_table(db):
     db.execute("CREATE TABLE e (id INTEGER NOT NULL, v INTEGER)")
     assert rows(db, "SELECT COUNT(*) FROM e") == [(0,)] and rows(db, "SELECT * FROM e") == [] and rows(db, "SELECT v, COUNT(*) FROM e GROUP BY v") == []
+
+
+def test_a_plain_limit_reads_with_one_task(db):
+    fill(db, "t", "id INTEGER, v TEXT", [(i, "x") for i in range(20)])
+    plan = lambda sql: db.query(sql)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" in plan("SELECT id FROM t LIMIT 5") and "Coalesce" not in plan("SELECT id FROM t WHERE v = 'x' LIMIT 5")
+    assert db.query("SELECT id FROM t LIMIT 5 OFFSET 18").count() == 2 and db.query("SELECT id FROM t LIMIT 5").count() == 5
