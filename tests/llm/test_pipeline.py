@@ -69,13 +69,6 @@ def test_stages(spark, sf_dir):
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in mixed.collect()) and all(r.n_tokens == len(r.token_ids) for r in out.collect())
 
 
-def test_run_is_the_stages_in_a_row(spark, sf_dir):
-    out = pipeline.run(spark, sf_dir)
-    again = pipeline.run(spark, sf_dir)
-    key = lambda df: sorted((r.doc_id, tuple(r.token_ids)) for r in df.collect())
-    assert out.columns == ["doc_id", "n_tokens", "token_ids"] and key(out) == key(again)
-
-
 def test_run_matches_brute_force(spark, sf_dir):
     """All stages in a row, document by document; the classifier's probabilities are taken as they are."""
     tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
@@ -93,7 +86,9 @@ def test_run_matches_brute_force(spark, sf_dir):
     own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = sorted((i, own.encode_ordinary(t)) for i, t in texts.items() for _ in range(times[i]))
     assert 0 < len(texts) < len(clean) < len(rows)
-    assert sorted((r.doc_id, r.token_ids) for r in pipeline.run(spark, sf_dir).collect()) == want
+    for _ in range(2):  # a run that is repeated gives the same
+        out = pipeline.run(spark, sf_dir)
+        assert out.columns == ["doc_id", "n_tokens", "token_ids"] and sorted((r.doc_id, r.token_ids) for r in out.collect()) == want
 
 
 def test_stages_keep_all_columns(spark, sf_dir):
